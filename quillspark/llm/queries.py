@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import jaccard, mixing, packing, quality, sharding, tokens, topk, urls
+from quillspark.llm import jaccard, lines, mixing, packing, quality, sharding, tokens, topk, urls
 from quillspark.runtime import read_table
 
 
@@ -29,6 +29,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedupe_lines(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines_removed", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(read_table(spark, sf_dir, "pages"))
 
