@@ -90,7 +90,7 @@ ORACLE: dict[str, str] = {
             WHEN regexp_matches(host || path, '\.torrent$') OR regexp_matches(host || path, '/link-exchange(/|$)') THEN 'block'
             ELSE 'allow' END AS verdict
         FROM ruled
-    """.replace("\\\\", "\\"),
+    """,
     "op8_exact_topk": """
         WITH whole AS (
             SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
