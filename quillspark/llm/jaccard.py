@@ -6,7 +6,9 @@
 3. A bucket (one shingle) does not emit all its pairs. Its members are checked against two central ones;
    linked members form components, and only pairs of different components are checked after that. So all
    links between components are found, which is all that grouping needs.
-4. Checking is vertical: the order is cut into FRAGMENTS ranges, each pair's overlap is counted in each
+4. Before their sets are fetched, pairs must pass a parity check: 512 bits, each the parity of the set's shingles that fall
+   on it. A shingle that only one of two sets has flips one bit, so sets differ in no fewer shingles than bits.
+5. Checking is vertical: the order is cut into FRAGMENTS ranges, each pair's overlap is counted in each
    fragment on its own, and the partial counts are summed per pair.
 
 Texts with equal shingle sets are one class, checked once, whatever the number of copies.
@@ -42,6 +44,10 @@ def _class(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    return np.packbits((np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _need(a: str, b: str, num: int, den: int) -> F.Column:
     """The least overlap with which sets of sizes a and b link, as a SQL expression."""
     return F.expr(f"({num} * ({a} + {b}) + {num + den - 1}) div {num + den}")
@@ -80,14 +86,16 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col
         hashes, seen = WordHashes(), set()
         often, counts = held.value
         for part, texts in byte_rows(batches, text_col):
-            classes, sizes, prefixes = [], [], []
+            classes, sizes, prefixes, bits = [], [], [], []
             for s in _sets(texts, hashes, n):
                 c, size = _class(s), len(s)
                 classes.append(c)
                 sizes.append(size)
                 if not size or c in seen:
                     prefixes.append(s[:0])
+                    bits.append(s[:0].view(np.int64))
                     continue
+                bits.append(_parity(s))
                 if len(seen) >= 500_000:
                     seen.clear()
                 seen.add(c)
@@ -100,11 +108,11 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col
                 else:
                     s = s[:length]
                 prefixes.append(s)
-            arrays = [part.column(part.schema.get_field_index(id_col)), pa.array(signed(np.array(classes, np.uint64))), pa.array(sizes, pa.int64()), list_array([signed(p) for p in prefixes], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "cls", "n_shingles", "keys"])
+            arrays = [part.column(part.schema.get_field_index(id_col)), pa.array(signed(np.array(classes, np.uint64))), pa.array(sizes, pa.int64()), list_array([signed(p) for p in prefixes], pa.int64()), list_array(bits, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "cls", "n_shingles", "keys", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return materialize(docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, cls long, n_shingles long, keys array<long>"))
+    return materialize(docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, cls long, n_shingles long, keys array<long>, bits array<long>"))
 
 
 def _fragment_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -140,7 +148,8 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def _pairs(x: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct (a, b) from rows with two bucket members that leave room for a link."""
-    fits = (F.col("cls") != F.col("p_cls")) & (den * F.least("size", "p_size") >= num * F.greatest("size", "p_size")) & (1 + F.least(F.expr("size - pos"), F.expr("p_size - p_pos")) >= _need("size", "p_size", num, den))
+    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("p_bits")[i])) for i in range(1, 8)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("p_bits")[0])))
+    fits = (F.col("cls") != F.col("p_cls")) & (den * F.least("size", "p_size") >= num * F.greatest("size", "p_size")) & (1 + F.least(F.expr("size - pos"), F.expr("p_size - p_pos")) >= _need("size", "p_size", num, den)) & (apart <= F.col("size") + F.col("p_size") - 2 * _need("size", "p_size", num, den))
     return x.where(fits).select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")).distinct()
 
 
@@ -157,28 +166,32 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_c
     table = _prefixes(docs, n, num, den, id_col, text_col)
     rows = table.where(F.size("keys") > 0).select(F.col("cls"), F.col("n_shingles").alias("size"), F.posexplode("keys").alias("pos", "key")).select("key", "cls", "size", (F.col("pos") + 1).cast("long").alias("pos"))
     shared = rows.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key")
-    members = materialize(rows.join(shared, "key").groupBy("key", "cls").agg(F.first("size").alias("size"), F.first("pos").alias("pos")))
+    members = rows.join(shared, "key").groupBy("key", "cls").agg(F.first("size").alias("size"), F.first("pos").alias("pos"))
+    bits = table.where(F.size("bits") > 0).groupBy("cls").agg(F.first("bits").alias("bits"))
+    members = materialize(members.join(bits, "cls"))
 
-    row = F.struct(F.col("cls").alias("p_cls"), F.col("size").alias("p_size"), F.col("pos").alias("p_pos"))
+    row = F.struct(F.col("cls").alias("p_cls"), F.col("size").alias("p_size"), F.col("pos").alias("p_pos"), F.col("bits").alias("p_bits"))
     chance = F.xxhash64("key", "cls")
     central = members.groupBy("key").agg(F.min_by(row, F.struct(F.col("pos"), chance)).alias("p1"), F.min_by(row, chance).alias("p2")).select("key", F.explode(F.array_distinct(F.array("p1", "p2"))).alias("p")).select("key", "p.*")
     first = materialize(_pairs(members.join(central, "key"), num, den))
 
-    # Sets are gathered for whatever may still have to be checked: members with room for any partner in their bucket.
-    wanted = members.where(F.expr("1 + size - pos") >= _need(f"({num} * size + {den - 1}) div {den}", "size", num, den)).select("cls").distinct()
-    sets = _fragment_sets(docs, table, wanted, n, id_col, text_col)
-    links = materialize(_links(first, sets, num, den))
+    def check(pairs: DataFrame) -> DataFrame:
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+        return materialize(_links(pairs, _fragment_sets(docs, table, wanted, n, id_col, text_col), num, den))
+
+    links = check(first)
     comps = connected_components(links)
 
     tagged = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     tagged = materialize(tagged.join(tagged.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"), "key"))
     main = tagged.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     minor = tagged.join(main, "key").where("comp <> main").drop("main")
-    both = minor.join(tagged.select("key", F.col("cls").alias("p_cls"), F.col("size").alias("p_size"), F.col("pos").alias("p_pos"), F.col("comp").alias("p_comp")), "key").where("comp <> p_comp")
-    second = _pairs(both, num, den).join(first, ["a", "b"], "left_anti")
-    more = materialize(_links(second, sets, num, den))
-    if not more.isEmpty():
-        comps = connected_components(links.unionByName(more))
+    both = minor.join(tagged.select("key", F.col("cls").alias("p_cls"), F.col("size").alias("p_size"), F.col("pos").alias("p_pos"), F.col("bits").alias("p_bits"), F.col("comp").alias("p_comp")), "key").where("comp <> p_comp")
+    second = materialize(_pairs(both, num, den).join(first, ["a", "b"], "left_anti"))
+    if not second.isEmpty():
+        more = check(second)
+        if not more.isEmpty():
+            comps = connected_components(links.unionByName(more))
 
     named = table.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.where("n_shingles > 0").groupBy("comp").agg(F.min("id").alias("least"))
