@@ -45,3 +45,8 @@ def ship(spark: SparkSession) -> None:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_side(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """`df`, materialized, with a broadcast hint if it is counted to have at most `most_rows` narrow rows; else left to a shuffle join."""
+    return df.hint("broadcast") if df.count() <= most_rows else df
