@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.components import connected_components
 from quillspark.llm.words import LOWER, WordHashes, byte_rows, list_array, shingle_set, signed
-from quillspark.runtime import materialize, ship
+from quillspark.runtime import materialize, ship, small_side
 
 #: Vertical cuts of the global order, by the top three bits of a shingle's hash.
 FRAGMENTS = 8
@@ -117,7 +117,8 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col
 
 def _fragment_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(cls, size, fragment, part) of the wanted classes, from the text of one document of each."""
-    ids = table.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id")).select("id").distinct()
+    ids = table.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("wanted_id")).select("wanted_id").distinct()
+    ids = small_side(materialize(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -133,7 +134,7 @@ def _fragment_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, n: int,
                         parts.append(signed(part))
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(classes, np.uint64))), pa.array(sizes, pa.int64()), pa.array(fragments, pa.int32()), list_array(parts, pa.int64())], names=["cls", "size", "fragment", "part"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col)).join(ids.withColumnRenamed("id", "wanted_id"), F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col)).join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
     parts = texts.select(text_col).mapInArrow(run, "cls long, size long, fragment int, part array<long>")
     return materialize(parts.join(wanted, "cls", "left_semi").groupBy("cls", "fragment").agg(F.first("size").alias("size"), F.first("part").alias("part")))
 
