@@ -1,15 +1,556 @@
-"""The registry of queries over the driver's tables, with the SQL that each is held against."""
+"""The registry of queries over the driver's tables, with the SQL that each is held against.
+
+Figures are rounded to six places before ordering or comparing, as sums run in any order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as T
+from quillspark.operators import counts as C
+from quillspark.operators import embeddings as E
+from quillspark.operators import models as M
+from quillspark.operators import search as S
+from quillspark.operators import subwords as B
+from quillspark.runtime import read_table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+_WORDS = r"""regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), '’', ''''), '[\p{L}\p{N}_]+(?:''[\p{L}\p{N}_]+)?|[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]')"""
+_TOK = f"list_filter({_WORDS}, lambda t: regexp_matches(t, '[\\p{{L}}\\p{{N}}]'))"
+#: Building blocks of the SQL: documents as token lists, in long form, as postings.
+TOK = f"tok AS (SELECT doc_id, {_TOK} AS tokens FROM documents)"
+LONG = f"{TOK}, lng AS (SELECT doc_id, unnest(tokens) AS term, unnest(range(1, len(tokens) + 1)) AS pos FROM tok)"
+FREQ = f"{LONG}, freq AS (SELECT term, count(*) AS n FROM lng GROUP BY term)"
+RANKED = f"{FREQ}, ranked AS (SELECT *, row_number() OVER (ORDER BY n DESC, term) AS rank FROM freq)"
+POST = f"{LONG}, post AS (SELECT doc_id, term, count(*) AS tf FROM lng GROUP BY doc_id, term), voc AS (SELECT term, count(*) AS df FROM post GROUP BY term), size AS (SELECT count(*) AS docs FROM documents)"
+QTOK = f"q AS (SELECT item_id AS query_id, {_TOK} AS tokens FROM benchmark), qlng AS (SELECT query_id, unnest(tokens) AS term FROM q)"
+WEIGHT = f"""{POST}, w0 AS (SELECT doc_id, term, tf / sum(tf) OVER (PARTITION BY doc_id) * (ln((1.0 + docs) / (1.0 + df)) + 1) AS w FROM post JOIN voc USING (term) CROSS JOIN size),
+norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w0 GROUP BY doc_id), {QTOK},
+qp AS (SELECT query_id, term, count(*) AS tf FROM qlng JOIN voc USING (term) GROUP BY query_id, term),
+qw0 AS (SELECT query_id, term, tf / sum(tf) OVER (PARTITION BY query_id) * (ln((1.0 + docs) / (1.0 + df)) + 1) AS qw FROM qp JOIN voc USING (term) CROSS JOIN size),
+qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qnorm FROM qw0 GROUP BY query_id),
+part AS (SELECT query_id, doc_id, term, w * qw / (norm * qnorm) AS part FROM w0 JOIN qw0 USING (term) JOIN norms USING (doc_id) JOIN qn USING (query_id)),
+score AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM part GROUP BY query_id, doc_id)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", T.normalize(F.col("text"), native=True).alias("tokens"))
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.normalize(F.col("text"), native=True).alias("tokens"))
+
+
+def engine(spark: SparkSession, d: str) -> S.SearchEngine:
+    return S.SearchEngine(tokens(spark, d))
+
+
+def freqs(spark: SparkSession, d: str) -> DataFrame:
+    return C.frequencies(C.long(tokens(spark, d)))
+
+
+def _joined(name: str, column) -> Callable:
+    return lambda s, d: read_table(s, d, "documents").select("doc_id", F.array_join(column(F.col("text")), "\x1f").alias("tokens"))
+
+
+def _lists(name: str, column, sql: str) -> None:
+    """A query of one list a document, shown as one string so that any tool compares it alike."""
+    QUERIES[name] = _joined(name, column)
+    ORACLE[name] = f"SELECT doc_id, array_to_string({sql}, chr(31)) AS tokens FROM documents"
+
+
+_SP = r"\s\x1c-\x1f\x85\p{Z}"
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
+_RAW = _WORDS.replace("replace(replace(lower(text), 'ß', 'ss'), '’', '''')", "replace(text, '’', '''')")
+_lists("tokenize_whitespace", T.tokenize_whitespace, f"list_filter(regexp_split_to_array(text, '[{_SP}]+'), lambda t: t <> '')")
+_lists("tokenize_words", T.tokenize_words, _RAW)
+_lists("split_sentences", T.split_sentences, rf"list_filter(string_split(regexp_replace(regexp_replace(text, '^[{_SP}]+|[{_SP}]+$', '', 'g'), '([.!?])[{_SP}]+', '\1' || chr(1), 'g'), chr(1)), lambda t: t <> '')")
+_lists("normalize_tokens", lambda t: T.normalize(t), _TOK)
+_lists("normalize_tokens_native", lambda t: T.normalize(t, native=True), _TOK)
+_lists("normalize_full", lambda t: T.normalize_full(t, native=True), f"list_filter({_TOK}, lambda t: NOT list_contains({_STOP}, t))")
+_lists("strip_punctuation", lambda t: T.strip_punctuation(T.tokenize_words(t)), rf"list_filter({_RAW}, lambda t: regexp_matches(t, '[\p{{L}}\p{{N}}]'))")
+_lists("remove_stopwords", lambda t: T.remove_stopwords(T.normalize(t, native=True)), f"list_filter({_TOK}, lambda t: NOT list_contains({_STOP}, t))")
+_lists("bigram_features", lambda t: T.with_bigrams(T.normalize(t, native=True)), f"list_concat({_TOK}, list_transform(range(1, len({_TOK})), lambda i: {_TOK}[i] || '_' || {_TOK}[i + 1]))" if False else f"(SELECT list_concat(x, list_transform(range(1, greatest(len(x), 1)), lambda i: x[i] || '_' || x[i + 1])) FROM (SELECT {_TOK} AS x))")
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(text, '[{_SP}]+', ' ', 'g')) AS text FROM documents")
+def normalize_whitespace(s, d):
+    return read_table(s, d, "documents").select("doc_id", T.normalize_whitespace(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
+def normalize_unicode(s, d):
+    return read_table(s, d, "documents").select("doc_id", T.normalize_unicode(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, strip_accents(text) AS text FROM documents")
+def strip_accents(s, d):
+    return read_table(s, d, "documents").select("doc_id", T.strip_accents(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, replace(lower(text), 'ß', 'ss') AS text FROM documents")
+def casefold(s, d):
+    return read_table(s, d, "documents").select("doc_id", T.fold(F.col("text")).alias("text"))
+
+
+@query(f"WITH {FREQ} SELECT term, n FROM freq")
+def word_frequencies(s, d):
+    return freqs(s, d)
+
+
+@query(f"WITH {RANKED} SELECT term, n, CAST(rank AS INTEGER) AS rank FROM ranked")
+def rank_words(s, d):
+    return C.ranked(freqs(s, d))
+
+
+@query(f"WITH {FREQ} SELECT term, n FROM freq ORDER BY n DESC, term LIMIT 50")
+def rank_top_words(s, d):
+    return C.top(freqs(s, d), 50)
+
+
+@query(f"WITH {FREQ} SELECT term, n FROM freq WHERE n = 1")
+def hapax(s, d):
+    return C.hapaxes(freqs(s, d))
+
+
+@query(f"WITH {TOK} SELECT doc_id, CASE WHEN len(tokens) = 0 THEN 0.0 ELSE CAST(len(list_distinct(tokens)) AS DOUBLE) / len(tokens) END AS ttr FROM tok")
+def type_token_ratio(s, d):
+    return C.type_token_ratio(tokens(s, d))
+
+
+@query(f"WITH {RANKED} SELECT CAST(k AS INTEGER) AS k, round(CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS DOUBLE) / sum(n), 6) AS coverage FROM ranked CROSS JOIN (SELECT unnest([10, 100, 1000, 10000]) AS k) GROUP BY k")
+def coverage_curve(s, d):
+    return C.coverage(freqs(s, d), [10, 100, 1000, 10000])
+
+
+@query(f"WITH {RANKED} SELECT CAST(rank AS INTEGER) AS rank, term, n, round(CAST((SELECT max(n) FROM freq) AS DOUBLE) / rank, 6) AS expected FROM ranked WHERE rank <= 20")
+def zipf_table(s, d):
+    return C.zipf_table(freqs(s, d), 20)
+
+
+@query(f"WITH {RANKED} SELECT round(-regr_slope(ln(n), ln(rank)), 6) AS exponent FROM ranked")
+def zipf_exponent(s, d):
+    return C.zipf_exponent(freqs(s, d)).select(F.round("exponent", 6).alias("exponent"))
+
+
+def _gram_sql(n: int) -> str:
+    cols = " || ' ' || ".join(f"lead(term, {j}) OVER w" if j else "term" for j in range(n))
+    return f"{LONG}, g AS (SELECT {cols} AS gram FROM lng WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"
+
+
+def grams(s, d, n: int) -> DataFrame:
+    return tokens(s, d).select(F.explode(T.ngrams(F.col("tokens"), n)).alias("g")).select(F.array_join("g", " ").alias("gram"))
+
+
+@query(f"WITH {_gram_sql(2)} SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram")
+def bigram_counts(s, d):
+    return C.frequencies(grams(s, d, 2), "gram")
+
+
+@query(f"WITH {_gram_sql(3)} SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram")
+def trigram_counts(s, d):
+    return C.frequencies(grams(s, d, 3), "gram")
+
+
+@query(f"WITH {_gram_sql(2)} SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram ORDER BY n DESC, gram LIMIT 25")
+def top_ngrams(s, d):
+    return C.top(C.frequencies(grams(s, d, 2), "gram"), 25, "gram")
+
+
+@query(f"WITH {_gram_sql(2)}, f AS (SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram) SELECT round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 6) AS sparsity FROM f")
+def ngram_sparsity(s, d):
+    return C.sparsity(C.frequencies(grams(s, d, 2), "gram")).select(F.round("sparsity", 6).alias("sparsity"))
+
+
+_PAD = f"{TOK}, pad AS (SELECT doc_id, list_concat(list_concat(['<s>'], tokens), ['</s>']) AS t FROM tok), pl AS (SELECT doc_id, unnest(t) AS token, unnest(range(1, len(t) + 1)) AS pos FROM pad), lm AS (SELECT doc_id, lag(token) OVER (PARTITION BY doc_id ORDER BY pos) AS ctx, token FROM pl), ng AS (SELECT ctx, token, count(*) AS n FROM lm WHERE ctx IS NOT NULL GROUP BY ctx, token), cx AS (SELECT ctx, sum(n) AS ctx_n FROM ng GROUP BY ctx), v AS (SELECT count(DISTINCT token) AS v FROM pl WHERE token <> '<s>')"
+_LM = f"{_PAD}, p AS (SELECT doc_id, ctx, token, (n + 0.1) / (ctx_n + 0.1 * v) AS p, n, ctx_n, v FROM lm JOIN ng USING (ctx, token) JOIN cx USING (ctx) CROSS JOIN v)"
+
+
+@query(f"WITH {_PAD} SELECT ctx || ' ' || token AS gram, n FROM ng")
+def padded_bigrams(s, d):
+    x = tokens(s, d).select(F.explode(T.ngrams(T.pad(F.col("tokens"), 2), 2)).alias("g")).select(F.array_join("g", " ").alias("gram"))
+    return C.frequencies(x, "gram")
+
+
+@query("SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(text, i, 3))) AS gram FROM documents WHERE length(text) >= 3) GROUP BY gram")
+def char_trigrams(s, d):
+    x = read_table(s, d, "documents").select(F.explode(T.char_ngrams(F.col("text"), 3)).alias("gram"))
+    return C.frequencies(x, "gram")
+
+
+@query(f"WITH {POST} SELECT term, df FROM voc")
+def document_frequency(s, d):
+    return C.document_frequencies(C.postings(tokens(s, d)))
+
+
+@query(f"WITH {POST} SELECT term, df FROM voc CROSS JOIN size WHERE df >= 2 AND df <= 0.5 * docs")
+def vocab_min_max_df(s, d):
+    t = tokens(s, d)
+    return C.vocabulary(C.postings(t), t.count(), 2, 0.5)
+
+
+@query(f"WITH {FREQ} SELECT term, n FROM freq WHERE n >= 3")
+def vocab_min_count(s, d):
+    return freqs(s, d).where("n >= 3")
+
+
+@query(f"WITH {POST}, num AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM voc WHERE df >= 2) SELECT doc_id, CAST(idx AS INTEGER) AS idx, tf FROM post JOIN num USING (term)")
+def bag_of_words(s, d):
+    index = C.postings(tokens(s, d))
+    return index.join(C.numbered(C.document_frequencies(index).where("df >= 2")), "term").select("doc_id", "idx", "tf")
+
+
+@query(f"WITH {POST}, k AS (SELECT term FROM voc WHERE df >= 2) SELECT doc_id, round(coalesce(avg(CASE WHEN lng.term IS NULL THEN NULL WHEN k.term IS NULL THEN 1.0 ELSE 0.0 END), 0), 6) AS oov_rate FROM documents LEFT JOIN lng USING (doc_id) LEFT JOIN k ON lng.term = k.term GROUP BY doc_id")
+def oov_rate(s, d):
+    t = tokens(s, d)
+    return C.oov_rate(t, C.document_frequencies(C.postings(t)).where("df >= 2")).select("doc_id", F.round("oov_rate", 6).alias("oov_rate"))
+
+
+@query(f"WITH {POST} SELECT round(1 - CAST((SELECT count(*) FROM post) AS DOUBLE) / ((SELECT count(*) FROM voc) * docs), 6) AS sparsity FROM size")
+def matrix_sparsity(s, d):
+    t = tokens(s, d)
+    index = C.postings(t)
+    n = index.agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("term").alias("terms"))
+    return n.crossJoin(t.agg(F.count(F.lit(1)).alias("docs"))).select(F.round(1 - F.col("cells") / (F.col("terms") * F.col("docs")), 6).alias("sparsity"))
+
+
+@query(f"WITH {POST} SELECT term, doc_id, tf FROM post")
+def inverted_index(s, d):
+    return C.postings(tokens(s, d)).select("term", "doc_id", "tf")
+
+
+for _scheme, _sql in (("raw", "CAST(tf AS DOUBLE)"), ("relative", "tf / sum(tf) OVER (PARTITION BY doc_id)"), ("log", "1 + ln(tf)"), ("boolean", "1.0")):
+
+    def _tf(s, d, scheme=_scheme):
+        x = C.postings(tokens(s, d)).withColumn("total", F.sum("tf").over(Window.partitionBy("doc_id")))
+        return x.select("doc_id", "term", F.round(C.tf(scheme, F.col("tf"), F.col("total")), 6).alias("tf"))
+
+    QUERIES[f"tf_{_scheme}"] = _tf
+    ORACLE[f"tf_{_scheme}"] = f"WITH {POST} SELECT doc_id, term, round(CAST({_sql} AS DOUBLE), 6) AS tf FROM post"
+
+for _scheme, _sql in (("smooth", "ln((1.0 + docs) / (1.0 + df)) + 1"), ("classic", "ln(CAST(docs AS DOUBLE) / df)"), ("probabilistic", "ln((CAST(docs AS DOUBLE) - df) / df)")):
+
+    def _idf(s, d, scheme=_scheme):
+        t = tokens(s, d)
+        n = t.count()
+        return C.document_frequencies(C.postings(t)).where(F.col("df") < n).select("term", F.round(C.idf(scheme, F.col("df"), F.lit(n)), 6).alias("idf"))
+
+    QUERIES[f"idf_{_scheme}"] = _idf
+    ORACLE[f"idf_{_scheme}"] = f"WITH {POST} SELECT term, round({_sql}, 6) AS idf FROM voc CROSS JOIN size WHERE df < docs"
+
+
+@query(f"WITH {WEIGHT} SELECT doc_id, term, w FROM (SELECT doc_id, term, round(w, 6) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 6) DESC, term) AS r FROM w0) WHERE r <= 5")
+def tfidf_top_terms(s, d):
+    w = engine(s, d).weights.select("doc_id", "term", F.round("w", 6).alias("w"))
+    return w.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("w"), "term"))).where("r <= 5").drop("r")
+
+
+@query(f"WITH {WEIGHT} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0) WHERE rank <= 10")
+def search(s, d):
+    return engine(s, d).search(questions(s, d), 10)
+
+
+@query(f"WITH {WEIGHT} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, doc_id, coalesce(score, 0.0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0.0) DESC, doc_id) AS rank FROM q CROSS JOIN documents LEFT JOIN score USING (query_id, doc_id)) WHERE rank <= 20")
+def rank_documents(s, d):
+    return engine(s, d).rank_documents(questions(s, d), 20)
+
+
+@query(f"WITH {POST}, {QTOK} SELECT DISTINCT query_id, doc_id FROM post JOIN qlng USING (term)")
+def candidates_or(s, d):
+    return engine(s, d).candidates(questions(s, d))
+
+
+@query(f"WITH {POST}, {QTOK} SELECT query_id, count(DISTINCT doc_id) AS n FROM post JOIN qlng USING (term) GROUP BY query_id")
+def scored_document_count(s, d):
+    return engine(s, d).candidates(questions(s, d)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {POST}, {QTOK}, qd AS (SELECT DISTINCT query_id, term FROM qlng), need AS (SELECT query_id, count(*) AS need FROM qd GROUP BY query_id), has AS (SELECT query_id, doc_id, count(*) AS has FROM post JOIN qd USING (term) GROUP BY query_id, doc_id) SELECT query_id, doc_id FROM has JOIN need USING (query_id) WHERE has = need")
+def boolean_and(s, d):
+    return engine(s, d).boolean_and(questions(s, d))
+
+
+@query(f"WITH {WEIGHT} SELECT query_id, doc_id, term, round(part, 6) AS part FROM part WHERE part > 0 AND query_id < 10")
+def explain_score(s, d):
+    return engine(s, d).contributions(questions(s, d).where("query_id < 10")).where("part > 0").select("query_id", "doc_id", "term", F.round("part", 6).alias("part"))
+
+
+@query(f"WITH {QTOK}, b AS (SELECT query_id, term, count(*) AS c FROM qlng GROUP BY query_id, term), n AS (SELECT query_id, sqrt(sum(c * c)) AS n FROM b GROUP BY query_id), x AS (SELECT a.query_id AS a, b2.query_id AS b, sum(a.c * b2.c) AS dot FROM b a JOIN b b2 ON a.term = b2.term AND a.query_id < b2.query_id GROUP BY 1, 2) SELECT a, b, round(dot / (na.n * nb.n), 6) AS cosine FROM x JOIN n na ON a = na.query_id JOIN n nb ON b = nb.query_id")
+def pairwise_cosine(s, d):
+    b = questions(s, d).select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("c"))
+    n = b.groupBy("query_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"))
+    x = b.select(F.col("query_id").alias("a"), "term", F.col("c").alias("ca")).join(b.select(F.col("query_id").alias("b"), "term", F.col("c").alias("cb")), "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"))
+    return x.join(n.select(F.col("query_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("query_id").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine"))
+
+
+def _few_vectors(s, d) -> tuple[DataFrame, DataFrame]:
+    v = read_table(s, d, "embeddings")
+    return v.select("vec_id", F.col("embedding").alias("v")), v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+_COS = "list_sum(list_transform(range(1, len(a) + 1), lambda i: CAST(a[i] AS DOUBLE) * b[i]))"
+_VEC = "p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, q.embedding AS a, c.embedding AS b FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id < 5), d AS (SELECT query_id, vec_id, round(" + _COS + " / (sqrt(" + _COS.replace("b[i]", "a[i]") + ") * sqrt(" + _COS.replace("a[i]", "b[i]").replace("len(a)", "len(b)") + ")), 6) AS score, round(sqrt(list_sum(list_transform(range(1, len(a) + 1), lambda i: (CAST(a[i] AS DOUBLE) - b[i]) * (CAST(a[i] AS DOUBLE) - b[i])))), 6) AS distance FROM p)"
+
+
+@query(f"WITH {_VEC} SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d) WHERE rank <= 10")
+def knn_embeddings(s, d):
+    v, q = _few_vectors(s, d)
+    x = v.crossJoin(F.broadcast(q)).where("vec_id <> query_id").select("query_id", "vec_id", F.round(M.cosine("v", "q"), 6).alias("score"))
+    return x.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("rank <= 10")
+
+
+@query(f"WITH {_VEC} SELECT query_id, vec_id, distance FROM d")
+def euclidean(s, d):
+    v, q = _few_vectors(s, d)
+    return v.crossJoin(F.broadcast(q)).where("vec_id <> query_id").select("query_id", "vec_id", F.round(M.euclidean("v", "q"), 6).alias("distance"))
+
+
+_ANALOGY = """unit AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS u FROM embeddings),
+t AS (SELECT list_transform(range(1, len(a.u) + 1), lambda i: b.u[i] - a.u[i] + c.u[i]) AS t FROM unit a, unit b, unit c WHERE a.vec_id = 0 AND b.vec_id = 1 AND c.vec_id = 2),
+s AS (SELECT vec_id, round(list_sum(list_transform(range(1, len(u) + 1), lambda i: u[i] * t[i])) / sqrt(list_sum(list_transform(t, lambda x: x * x))), 6) AS score FROM unit CROSS JOIN t WHERE vec_id > 2)"""
+
+
+@query(f"WITH {_ANALOGY} SELECT CAST(vec_id AS VARCHAR) AS term, score FROM s ORDER BY score DESC, CAST(vec_id AS VARCHAR) LIMIT 5")
+def analogy_embeddings(s, d):
+    v = read_table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("term"), F.col("embedding").cast("array<double>").alias("vec"))
+    return E.analogy(E.unit(v), "0", "1", "2", k=5).select("term", "score")
+
+
+LABELLED = f"{POST}, lab AS (SELECT doc_id, CAST(quality AS VARCHAR) AS label FROM labels), cls AS (SELECT label, count(*) AS docs, ln(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM lab JOIN documents USING (doc_id))) AS prior FROM lab JOIN documents USING (doc_id) GROUP BY label), lt AS (SELECT label, term, sum(tf) AS n FROM post JOIN lab USING (doc_id) GROUP BY label, term), tot AS (SELECT label, sum(n) AS total FROM lt GROUP BY label), vs AS (SELECT count(DISTINCT term) AS v FROM lt), lik AS (SELECT label, term, ln((coalesce(n, 0) + 1.0) / (total + v)) AS ll FROM (SELECT DISTINCT term FROM lt) CROSS JOIN tot CROSS JOIN vs LEFT JOIN lt USING (label, term)), sc AS (SELECT doc_id, label, sum(tf * ll) AS s FROM post JOIN lik USING (term) GROUP BY doc_id, label), sco AS (SELECT doc_id, label, prior + coalesce(s, 0) AS log_score FROM documents CROSS JOIN cls LEFT JOIN sc USING (doc_id, label)), pred AS (SELECT doc_id, label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(log_score, 4) DESC, label) AS r FROM sco) WHERE r = 1)"
+
+
+def labelled(s, d) -> DataFrame:
+    return tokens(s, d).join(read_table(s, d, "labels").select("doc_id", F.col("quality").cast("string").alias("label")), "doc_id")
+
+
+@query(f"WITH {LABELLED} SELECT label, term, CAST(n AS BIGINT) AS n FROM lt")
+def nb_class_counts(s, d):
+    return M.NaiveBayes(labelled(s, d)).counts
+
+
+@query(f"WITH {LABELLED} SELECT doc_id, label, round(log_score / (1 + len(tokens)), 5) AS log_score FROM sco JOIN tok USING (doc_id)")
+def nb_log_scores(s, d):
+    t = tokens(s, d)
+    return M.NaiveBayes(labelled(s, d)).scores(t).join(t, "doc_id").select("doc_id", "label", F.round(F.col("log_score") / (1 + F.size("tokens")), 5).alias("log_score"))
+
+
+@query(f"WITH {LABELLED} SELECT doc_id, label FROM pred")
+def nb_predict(s, d):
+    return M.NaiveBayes(labelled(s, d)).predict(tokens(s, d))
+
+
+@query(f"WITH {LABELLED}, e AS (SELECT doc_id, label, exp(log_score - max(log_score) OVER (PARTITION BY doc_id)) AS e FROM sco) SELECT doc_id, label, round(e / sum(e) OVER (PARTITION BY doc_id), 4) AS p FROM e")
+def nb_proba(s, d):
+    return M.NaiveBayes(labelled(s, d)).proba(tokens(s, d)).select("doc_id", "label", F.round("p", 4).alias("p"))
+
+
+@query(f"WITH {LABELLED}, j AS (SELECT pred.label AS predicted, lab.label AS actual FROM pred JOIN lab USING (doc_id)), c AS (SELECT actual AS c FROM j UNION SELECT predicted FROM j) SELECT a.c AS actual, b.c AS predicted, count(j.actual) AS n FROM c a CROSS JOIN c b LEFT JOIN j ON j.actual = a.c AND j.predicted = b.c GROUP BY 1, 2")
+def nb_confusion(s, d):
+    x = labelled(s, d)
+    return M.confusion(M.NaiveBayes(x).predict(x.select("doc_id", "tokens")).withColumnRenamed("label", "predicted").join(x.select("doc_id", F.col("label").alias("actual")), "doc_id"))
+
+
+@query(f"WITH {LABELLED} SELECT round(avg(CASE WHEN pred.label = lab.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pred JOIN lab USING (doc_id)")
+def nb_accuracy(s, d):
+    x = labelled(s, d)
+    return M.accuracy(M.NaiveBayes(x).predict(x.select("doc_id", "tokens")).withColumnRenamed("label", "predicted").join(x.select("doc_id", F.col("label").alias("actual")), "doc_id")).select(F.round("accuracy", 6).alias("accuracy"))
+
+
+@query(f"WITH {LABELLED}, r AS (SELECT a.label, a.term, round(a.ll - max(b.ll), 6) AS log_ratio FROM lik a JOIN lik b ON a.term = b.term AND a.label <> b.label GROUP BY a.label, a.term, a.ll) SELECT label, term, log_ratio, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY log_ratio DESC, term) AS rank FROM r) WHERE rank <= 10")
+def nb_top_features(s, d):
+    return M.NaiveBayes(labelled(s, d)).top_features(10)
+
+
+def model(s, d) -> M.NgramModel:
+    return M.NgramModel(tokens(s, d), 2, 0.1)
+
+
+@query(f"WITH {_PAD} SELECT ctx, token, n FROM ng")
+def lm_ngram_counts(s, d):
+    return model(s, d).ngrams.select(F.array_join("ctx", " ").alias("ctx"), "token", "n")
+
+
+@query(f"WITH {_LM} SELECT DISTINCT ctx, token, round(p, 6) AS p FROM p")
+def lm_probability(s, d):
+    return model(s, d).probabilities(tokens(s, d)).select(F.array_join("ctx", " ").alias("ctx"), "token", F.round("p", 6).alias("p")).distinct()
+
+
+@query(f"WITH {_LM} SELECT doc_id, round(sum(ln(p)) / count(*), 5) AS logp FROM p GROUP BY doc_id")
+def lm_log_probability(s, d):
+    return model(s, d).log_probability(tokens(s, d)).select("doc_id", F.round(F.col("logp") / F.col("tokens"), 5).alias("logp"))
+
+
+@query(f"WITH {_LM} SELECT round(exp(-sum(ln(p)) / count(*)), 4) AS perplexity FROM p")
+def lm_perplexity(s, d):
+    return model(s, d).log_probability(tokens(s, d)).agg(F.round(F.exp(-F.sum("logp") / F.sum("tokens")), 4).alias("perplexity"))
+
+
+@query(f"WITH {_PAD}, voc2 AS (SELECT DISTINCT token FROM pl WHERE token <> '<s>') SELECT token, round((coalesce(n, 0) + 0.1) / ((SELECT ctx_n FROM cx WHERE ctx = 'the') + 0.1 * v), 9) AS p FROM voc2 CROSS JOIN v LEFT JOIN (SELECT token, n FROM ng WHERE ctx = 'the') USING (token)")
+def lm_continuations(s, d):
+    return model(s, d).continuations(["the"]).select("token", F.round("p", 9).alias("p"))
+
+
+@query(f"WITH {_PAD} SELECT round(sum(n + 0.1) / (max(ctx_n) + 0.1 * max(v)), 6) AS seen, round(1 - sum(n + 0.1) / (max(ctx_n) + 0.1 * max(v)), 6) AS cost FROM ng JOIN cx USING (ctx) CROSS JOIN v WHERE ctx = 'the'")
+def lm_smoothing_cost(s, d):
+    seen = F.sum(F.when(F.col("n") > 0, F.col("p")))
+    return model(s, d).continuations(["the"]).agg(F.round(seen, 6).alias("seen"), F.round(1 - seen, 6).alias("cost"))
+
+
+@query(f"WITH {FREQ} SELECT doc_id, array_to_string(list(CASE WHEN n >= 2 THEN term ELSE '<unk>' END ORDER BY pos), ' ') AS tokens FROM lng JOIN freq USING (term) GROUP BY doc_id UNION ALL SELECT doc_id, '' AS tokens FROM tok WHERE len(tokens) = 0")
+def replace_rare(s, d):
+    return M.replace_rare(tokens(s, d)).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM documents), i AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, doc_id FROM documents), t AS (SELECT CAST(floor(k * CAST(n AS DOUBLE) / 20) AS BIGINT) AS i FROM (SELECT unnest(range(0, 20)) AS k) CROSS JOIN n) SELECT doc_id, i.i IN (SELECT i FROM t) AS is_test FROM i")
+def holdout_split(s, d):
+    docs = read_table(s, d, "documents").select("doc_id")
+    n = docs.count()
+    picks = s.range(0, 20).select(F.floor(F.col("id") * n / 20).cast("int").alias("i")).distinct()
+    x = docs.withColumn("i", F.row_number().over(Window.orderBy("doc_id")) - 1)
+    return x.join(F.broadcast(picks.withColumn("is_test", F.lit(True))), "i", "left").select("doc_id", F.coalesce("is_test", F.lit(False)).alias("is_test"))
+
+
+@query(f"WITH {_PAD}, dist AS (SELECT token, n / sum(n) OVER () AS p FROM ng WHERE ctx = 'the'), k AS (SELECT token, p FROM dist ORDER BY round(p, 12) DESC, token LIMIT 10), r AS (SELECT token, p / sum(p) OVER () AS p FROM k) SELECT token, round(pow(p, 2) / sum(pow(p, 2)) OVER (), 6) AS p FROM r")
+def temperature_topk(s, d):
+    x = M.NgramModel(tokens(s, d), 2, 0.0).continuations(["the"]).where("n > 0").orderBy(F.desc(F.round("p", 12)), "token").limit(10)
+    w = Window.partitionBy()
+    x = x.withColumn("p", F.pow(F.col("p") / F.sum("p").over(w), 1 / 0.5))
+    return x.select("token", F.round(F.col("p") / F.sum("p").over(w), 6).alias("p"))
+
+
+@query(f"WITH {FREQ}, sy AS (SELECT term, n, list_concat(string_split(term, ''), ['</w>']) AS y FROM freq), pr AS (SELECT n, unnest(list_transform(range(1, len(y)), lambda i: y[i])) AS l, unnest(list_transform(range(1, len(y)), lambda i: y[i + 1])) AS r FROM sy) SELECT l, r, CAST(sum(n) AS BIGINT) AS n FROM pr GROUP BY l, r")
+def bpe_pair_counts(s, d):
+    return B.pair_counts(freqs(s, d))
+
+
+@query()
+def bpe_merges(s, d):
+    return B.train_bpe(freqs(s, d), 100)
+
+
+@query()
+def bpe_encode(s, d):
+    words = freqs(s, d)
+    merges = [(r["l"], r["r"]) for r in B.train_bpe(words, 100).orderBy("rank").collect()]
+    return B.encode_words(words, merges).select("term", "n", F.array_join("pieces", " ").alias("pieces"))
+
+
+@query()
+def bpe_pieces_per_word(s, d):
+    return bpe_encode(s, d).agg(F.round(F.avg(F.size(F.split("pieces", " "))), 6).alias("pieces_per_word"))
+
+
+_CO = "{LONG}, co AS (SELECT a.term, b.term AS ctx, count(*) AS n FROM lng a JOIN lng b ON a.doc_id = b.doc_id AND {cond} GROUP BY 1, 2)"
+_CO2 = _CO.format(LONG=LONG, cond="b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND a.pos <> b.pos")
+
+
+@query(f"WITH {_CO2} SELECT term, ctx, n FROM co")
+def cooccurrence(s, d):
+    return M.cooccurrence(tokens(s, d))
+
+
+@query(f"WITH {_CO.format(LONG=LONG, cond='b.pos BETWEEN a.pos + 1 AND a.pos + 2')} SELECT term, ctx, n FROM co")
+def cooccurrence_directed(s, d):
+    return M.cooccurrence(tokens(s, d), symmetric=False)
+
+
+_PPMI = f"{_CO2}, rs AS (SELECT term, sum(n) AS r FROM co GROUP BY term), t AS (SELECT sum(n) AS t FROM co), pp AS (SELECT term, ctx, round(greatest(ln(CAST(n AS DOUBLE) * t / (CAST(rs.r AS DOUBLE) * cs.r)), 0), 6) AS ppmi FROM co JOIN rs USING (term) JOIN rs cs ON ctx = cs.term CROSS JOIN t)"
+
+
+@query(f"WITH {_PPMI} SELECT term, ctx, ppmi FROM pp")
+def ppmi(s, d):
+    return M.ppmi(M.cooccurrence(tokens(s, d))).select("term", "ctx", F.round("ppmi", 6).alias("ppmi"))
+
+
+@query(f"WITH {_PPMI} SELECT ctx, ppmi FROM pp WHERE term = 'the' AND ctx <> 'the' ORDER BY ppmi DESC, ctx LIMIT 10")
+def top_associations(s, d):
+    return M.ppmi(M.cooccurrence(tokens(s, d))).where("term = 'the' and ctx <> 'the'").select("ctx", F.round("ppmi", 6).alias("ppmi")).orderBy(F.desc("ppmi"), "ctx").limit(10)
+
+
+_BOTH = f"""{WEIGHT}, every AS (SELECT query_id, doc_id, coalesce(score, 0.0) AS lexical, CAST(length(text) AS DOUBLE) AS other FROM q CROSS JOIN documents LEFT JOIN score USING (query_id, doc_id))"""
+
+
+def both_signals(s, d) -> DataFrame:
+    """Lexical scores, and text length as a second signal that SQL can give."""
+    x = engine(s, d).rank_documents(questions(s, d)).withColumnRenamed("score", "lexical").drop("rank")
+    return x.join(read_table(s, d, "documents").select("doc_id", F.length("text").cast("double").alias("other")), "doc_id")
+
+
+_MM = "CASE WHEN max({c}) OVER (PARTITION BY query_id) > min({c}) OVER (PARTITION BY query_id) THEN ({c} - min({c}) OVER (PARTITION BY query_id)) / (max({c}) OVER (PARTITION BY query_id) - min({c}) OVER (PARTITION BY query_id)) ELSE 0.0 END"
+
+
+@query(f"WITH {_BOTH}, m AS (SELECT query_id, doc_id, round(0.5 * ({_MM.format(c='lexical')}) + 0.5 * ({_MM.format(c='other')}), 6) AS score FROM every) SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM m) WHERE rank <= 5")
+def minmax_fusion(s, d):
+    x = S.min_max(S.min_max(both_signals(s, d), "lexical"), "other")
+    return S.best(x.select("query_id", "doc_id", F.round(0.5 * F.col("lexical") + 0.5 * F.col("other"), 6).alias("score")), 5)
+
+
+@query(f"WITH {_BOTH}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, doc_id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY other DESC, doc_id) AS b FROM every), f AS (SELECT query_id, doc_id, round(1.0 / (60 + a) + 1.0 / (60 + b), 6) AS score FROM r) SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 5")
+def rrf_fusion(s, d):
+    x = both_signals(s, d)
+    ranks = [S.best(x.select("query_id", "doc_id", F.col(c).alias("score")), None) for c in ("lexical", "other")]
+    return S.best(S.reciprocal_rank_fusion(ranks), 5)
+
+
+@query(f"WITH {WEIGHT}, top3 AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0) WHERE rank <= 3), rel AS (SELECT item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON strpos(d.text, b.text) > 0), h AS (SELECT r.query_id, max(CASE WHEN t.doc_id IS NULL THEN 0.0 ELSE 1.0 END) AS hit FROM rel r LEFT JOIN top3 t ON r.query_id = t.query_id AND r.doc_id = t.doc_id GROUP BY r.query_id) SELECT round(avg(hit), 6) AS hit_rate FROM h")
+def hit_rate_at_k(s, d):
+    """Share of benchmark items, of those whose text a document holds, with such a document among the first three."""
+    b = read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
+    rel = read_table(s, d, "documents").join(F.broadcast(b), F.contains("text", "item")).select("query_id", "doc_id")
+    found = engine(s, d).search(questions(s, d), 3).select("query_id", "doc_id", F.lit(1.0).alias("hit"))
+    hits = rel.join(found, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.max(F.coalesce("hit", F.lit(0.0))).alias("hit"))
+    return hits.agg(F.round(F.avg("hit"), 6).alias("hit_rate"))
+
+
+def _word_vectors(s, d) -> DataFrame:
+    q = questions(s, d).select(F.col("query_id").alias("doc_id"), "tokens")
+    return E.svd_embeddings(M.ppmi(M.cooccurrence(q)), k=24)
+
+
+@query()
+def svd_embeddings(s, d):
+    return _word_vectors(s, d)
+
+
+@query()
+def hybrid_search(s, d):
+    t, q = tokens(s, d), questions(s, d)
+    e = S.SearchEngine(t)
+    words = _word_vectors(s, d)
+    idf = e.vocab.select("term", C.idf("smooth", F.col("df"), F.lit(e.n)).alias("idf"))
+    docs = E.embed_documents(t, words, idf)
+    asked = E.embed_documents(q.withColumnRenamed("query_id", "doc_id"), words, idf).select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qv"))
+    semantic = docs.crossJoin(F.broadcast(asked)).select("query_id", "doc_id", M.dot("vec", "qv").alias("semantic"))
+    x = e.rank_documents(q).select("query_id", "doc_id", F.col("score").alias("lexical")).join(semantic, ["query_id", "doc_id"], "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
+    x = S.min_max(S.min_max(x, "lexical"), "semantic")
+    return S.best(x.select("query_id", "doc_id", F.round(0.5 * F.col("lexical") + 0.5 * F.col("semantic"), 6).alias("score")), 5)
+
+
+@query()
+def generate(s, d):
+    q = questions(s, d).select(F.col("query_id").alias("doc_id"), "tokens")
+    return B.generate(M.NgramModel(q, 2, 0.0), s.range(0, 20).withColumnRenamed("id", "seed"), temperature=0.8, top_k=20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
