@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.runtime import ship
+
 #: What Python calls white space, and its word characters, as Java classes.
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 WORD = rf"[\p{{L}}\p{{N}}_]+(?:'[\p{{L}}\p{{N}}_]+)?|[^\p{{L}}\p{{N}}_{SPACE}]"
@@ -36,6 +39,11 @@ STOPWORDS = tuple(
 )
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value bound to a variable, so that lambdas inside do not compute it for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokenize_whitespace(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACE}]+", -1), lambda t: t != "")
 
@@ -83,6 +91,7 @@ def _unaccented(x: str) -> str:
 
 
 def strip_accents(text: Column) -> Column:
+    ship(SparkSession.getActiveSession())
     return F.pandas_udf(lambda s: s.map(_unaccented, na_action="ignore"), "string")(text)
 
 
@@ -114,7 +123,8 @@ def ngrams(tokens: Column, n: int) -> Column:
         raise TypeError("n must be an integer")
     if n < 1:
         raise ValueError("n must be at least 1")
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), lambda i: F.slice(tokens, i, n))).otherwise(F.array().cast("array<array<string>>"))
+    none = F.array().cast("array<array<string>>")
+    return once(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))), lambda i: F.slice(t, i, n))).otherwise(none))
 
 
 def pad(tokens: Column, n: int) -> Column:
@@ -125,8 +135,9 @@ def char_ngrams(text: Column, n: int, strip_spaces: bool = False) -> Column:
     if n < 1:
         raise ValueError("n must be at least 1")
     text = F.regexp_replace(text, f"[{SPACE}]+", "") if strip_spaces else text
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return once(text, lambda t: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))).otherwise(none))
 
 
 def with_bigrams(tokens: Column) -> Column:
-    return F.concat(tokens, F.transform(ngrams(tokens, 2), lambda g: F.array_join(g, "_")))
+    return once(tokens, lambda t: F.concat(t, F.transform(ngrams(t, 2), lambda g: F.array_join(g, "_"))))
