@@ -54,11 +54,11 @@ def _need(a: str, b: str, num: int, den: int) -> F.Column:
 
 
 def frequent_shingles(docs: DataFrame, n: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Shingles counted at least 16 times, by counts within runs of 64 MB of text (3 at least) summed over all."""
+    """Shingles counted at least 16 times, by counts within runs of 48 MB of text (3 at least) summed over all."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for _, texts in byte_rows(batches, text_col):
+        for _, texts in byte_rows(batches, text_col, 48 << 20):
             sets = _sets(texts, hashes, n)
             keys, found = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64),) * 2
             often = found >= 3

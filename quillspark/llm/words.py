@@ -58,13 +58,13 @@ def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(windows(h, n))
 
 
-def byte_rows(batches: Iterator[pa.RecordBatch], name: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Each batch, in runs of at most 64 MB of text, with its texts as UTF-8 bytes (null: None)."""
+def byte_rows(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 16 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Each batch, in runs of at most `most` bytes of text (or one row), with its texts as UTF-8 bytes (null: None)."""
     for batch in batches:
         start, column = 0, batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
         while start < batch.num_rows:
-            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + (64 << 20), "right")) - 1)
+            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
             end = min(end, batch.num_rows)
             part = batch.slice(start, end - start)
             yield part, column.slice(start, end - start).to_pylist()
