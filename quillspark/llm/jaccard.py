@@ -66,7 +66,7 @@ def frequent_shingles(docs: DataFrame, n: int, text_col: str = "text") -> tuple[
 
     total = materialize(docs.select(text_col).mapInArrow(counts, "key long, found long").groupBy("key").agg(F.sum("found").alias("found")).where("found >= 16"))
     by_size = sorted(((r[0], r[1]) for r in total.groupBy(F.expr("cast(floor(log2(found)) as int)")).count().collect()), reverse=True)
-    kept, least = 0, 63
+    kept, least = 0, 62
     for power, number in by_size:
         if kept + number > MOST_FREQUENT:
             break
