@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,14 +69,9 @@ def fold_native(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
-@F.pandas_udf("string")
-def _fold(text: pd.Series) -> pd.Series:
-    return text.map(str.casefold, na_action="ignore")
-
-
 def fold(text: Column) -> Column:
     """Full case folding."""
-    return _fold(text)
+    return F.pandas_udf(lambda s: s.map(str.casefold, na_action="ignore"), "string")(text)
 
 
 def normalize_unicode(text: Column, form: str = "NFC") -> Column:
