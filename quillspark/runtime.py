@@ -23,7 +23,9 @@ def materialize(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="quillspark-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    sc._jvm.System.gc()  # shuffle files of plans that were cut before are removed only after the driver's collector ran
+    return done
 
 
 def ship(spark: SparkSession) -> None:
