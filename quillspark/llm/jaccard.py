@@ -136,22 +136,30 @@ def _fragment_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, n: int,
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col)).join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
     parts = texts.select(text_col).mapInArrow(run, "cls long, size long, fragment int, part array<long>")
-    return materialize(parts.join(wanted, "cls", "left_semi").groupBy("cls", "fragment").agg(F.first("size").alias("size"), F.first("part").alias("part")))
+    parts = materialize(parts.join(small_side(wanted), "cls", "left_semi"))
+    if parts.count() == parts.select("cls", "fragment").distinct().count():
+        return parts
+    # Rows of one id and text: each part once.
+    return materialize(parts.groupBy("cls", "fragment").agg(F.first("size").alias("size"), F.first("part").alias("part")))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The (a, b) of `pairs` whose overlap, summed over the fragments, is enough."""
     a = sets.select(F.col("cls").alias("a"), "fragment", F.col("size").alias("a_size"), F.col("part").alias("a_part"))
     b = sets.select(F.col("cls").alias("b"), "fragment", F.col("size").alias("b_size"), F.col("part").alias("b_part"))
-    shared = pairs.select("a", "b").join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "a_size", "b_size", F.size(F.array_intersect("a_part", "b_part")).cast("long").alias("shared"))
+    # Both joins are keyed alike, so the sets are dealt out once.
+    cut = pairs.select("a", "b", F.explode(F.expr(f"sequence(0, {FRAGMENTS - 1})")).alias("fragment"))
+    shared = cut.join(a, ["a", "fragment"]).join(b, ["b", "fragment"]).select("a", "b", "a_size", "b_size", F.size(F.array_intersect("a_part", "b_part")).cast("long").alias("shared"))
     return shared.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size")).where(F.col("shared") >= _need("a_size", "b_size", num, den)).select("a", "b")
 
 
-def _pairs(x: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (a, b) from rows with two bucket members that leave room for a link."""
-    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("p_bits")[i])) for i in range(1, 8)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("p_bits")[0])))
-    fits = (F.col("cls") != F.col("p_cls")) & (den * F.least("size", "p_size") >= num * F.greatest("size", "p_size")) & (1 + F.least(F.expr("size - pos"), F.expr("p_size - p_pos")) >= _need("size", "p_size", num, den)) & (apart <= F.col("size") + F.col("p_size") - 2 * _need("size", "p_size", num, den))
-    return x.where(fits).select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")).distinct()
+def _pairs(x: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct (a, b) from rows with two bucket members that leave room for a link and pass the parity check."""
+    fits = (F.col("cls") != F.col("p_cls")) & (den * F.least("size", "p_size") >= num * F.greatest("size", "p_size")) & (1 + F.least(F.expr("size - pos"), F.expr("p_size - p_pos")) >= _need("size", "p_size", num, den))
+    pairs = x.where(fits).select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b"), (F.col("size") + F.col("p_size") - 2 * _need("size", "p_size", num, den)).alias("most")).distinct()
+    a, b = (bits.select(F.col("cls").alias(c), F.col("bits").alias(f"{c}_bits")) for c in "ab")
+    apart = sum((F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(1, 8)), F.bit_count(F.col("a_bits")[0].bitwiseXOR(F.col("b_bits")[0])))
+    return pairs.join(a, "a").join(b, "b").where(apart <= F.col("most")).select("a", "b")
 
 
 def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,14 +175,13 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_c
     table = _prefixes(docs, n, num, den, id_col, text_col)
     rows = table.where(F.size("keys") > 0).select(F.col("cls"), F.col("n_shingles").alias("size"), F.posexplode("keys").alias("pos", "key")).select("key", "cls", "size", (F.col("pos") + 1).cast("long").alias("pos"))
     shared = rows.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key")
-    members = rows.join(shared, "key").groupBy("key", "cls").agg(F.first("size").alias("size"), F.first("pos").alias("pos"))
-    bits = table.where(F.size("bits") > 0).groupBy("cls").agg(F.first("bits").alias("bits"))
-    members = materialize(members.join(bits, "cls"))
+    members = materialize(rows.join(shared, "key").groupBy("key", "cls").agg(F.first("size").alias("size"), F.first("pos").alias("pos")))
+    bits = materialize(table.where(F.size("bits") > 0).groupBy("cls").agg(F.first("bits").alias("bits")))
 
-    row = F.struct(F.col("cls").alias("p_cls"), F.col("size").alias("p_size"), F.col("pos").alias("p_pos"), F.col("bits").alias("p_bits"))
+    row = F.struct(F.col("cls").alias("p_cls"), F.col("size").alias("p_size"), F.col("pos").alias("p_pos"))
     chance = F.xxhash64("key", "cls")
     central = members.groupBy("key").agg(F.min_by(row, F.struct(F.col("pos"), chance)).alias("p1"), F.min_by(row, chance).alias("p2")).select("key", F.explode(F.array_distinct(F.array("p1", "p2"))).alias("p")).select("key", "p.*")
-    first = materialize(_pairs(members.join(central, "key"), num, den))
+    first = materialize(_pairs(members.join(central, "key"), bits, num, den))
 
     def check(pairs: DataFrame) -> DataFrame:
         wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
@@ -187,8 +194,8 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_c
     tagged = materialize(tagged.join(tagged.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"), "key"))
     main = tagged.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     minor = tagged.join(main, "key").where("comp <> main").drop("main")
-    both = minor.join(tagged.select("key", F.col("cls").alias("p_cls"), F.col("size").alias("p_size"), F.col("pos").alias("p_pos"), F.col("bits").alias("p_bits"), F.col("comp").alias("p_comp")), "key").where("comp <> p_comp")
-    second = materialize(_pairs(both, num, den).join(first, ["a", "b"], "left_anti"))
+    both = minor.join(tagged.select("key", F.col("cls").alias("p_cls"), F.col("size").alias("p_size"), F.col("pos").alias("p_pos"), F.col("comp").alias("p_comp")), "key").where("comp <> p_comp")
+    second = materialize(_pairs(both, bits, num, den).join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         more = check(second)
         if not more.isEmpty():
