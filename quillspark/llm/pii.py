@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.runtime import materialize
+from quillspark.runtime import materialize, small_side
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -80,11 +80,10 @@ def generalise(text: Column, spans: Column) -> Column:
     return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
 
 
-def disclosing_terms(named: DataFrame, words: DataFrame, documents: int, least_texts: int, least_share: float, least_npmi: float) -> DataFrame:
-    """(term) whose use discloses an entity. named: (digest, entity, term, copies) near entities; words: (digest, term, copies) of all texts."""
+def disclosing_terms(named: DataFrame, terms: DataFrame, documents: int, least_texts: int, least_share: float, least_npmi: float) -> DataFrame:
+    """(term) whose use discloses an entity. named: (digest, entity, term, copies) near entities; terms: (term, n_term) over all texts."""
     near = named.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= least_texts)
     entities = named.select("digest", "entity", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    terms = words.groupBy("term").agg(F.sum("copies").alias("n_term"))
     x = near.join(entities, "entity").join(terms, "term")
     both = F.col("n_both") / documents
     pmi = F.log2(both * documents / F.col("n_term") * documents / F.col("n_entity"))
@@ -113,11 +112,13 @@ def find_personal_data(docs: DataFrame, window: int = 80, least_texts: int = 5,
     if wanted.isEmpty():  # no term is named with an entity often enough, so none is judged
         extra = base.select("digest").limit(0).withColumn("terms", F.array().cast(_SPAN))
     else:
+        # Only counts by term and the texts with a disclosing term leave their task, never a row for each word of each text.
         words = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), F.explode(F.array_distinct(F.regexp_extract_all(lower, F.lit(TERM), 0))).alias("term"))
-        words = materialize(words.join(wanted, "term").groupBy("digest", "term").agg(F.count(F.lit(1)).alias("copies")))
+        terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
         # A text's term and entity counts are in rows, so each document counts.
-        flagged = disclosing_terms(named, words, docs.count(), least_texts, least_share, least_npmi)
+        flagged = small_side(materialize(disclosing_terms(named, terms, docs.count(), least_texts, least_share, least_npmi)))
         told = words.join(flagged, "term", "left_semi").groupBy("digest").agg(F.collect_set("term").alias("flagged"))  # a text's own words at most
+        told = small_side(materialize(told), 200_000)
         texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text")).join(told, "digest")
         own = F.filter(_matches(F.col("text"), TERM, "term"), lambda s: F.array_contains(F.col("flagged"), F.lower(s["value"])))
         extra = texts.select("digest", own.alias("terms")).groupBy("digest").agg(F.first("terms").alias("terms"))
