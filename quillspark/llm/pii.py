@@ -104,8 +104,9 @@ def find_personal_data(docs: DataFrame, window: int = 80, least_texts: int = 5,
     near = F.transform("base", lambda s: F.struct(F.xxhash64(s["kind_no"], s["value"]).alias("entity"), _context(F.col("text"), s, window).alias("terms")))
     base = materialize(base.select(id_col, "digest", "base", F.when(F.size("base") > 0, near).alias("near")))
 
-    near = base.where("near is not null").groupBy("digest").agg(F.first("near").alias("near"), F.count(F.lit(1)).alias("copies"))
-    named = near.select("digest", "copies", F.explode("near").alias("x")).select("digest", "copies", "x.entity", F.explode("x.terms").alias("term")).distinct()
+    near = base.where("near is not null")
+    copies = near.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    named = near.select("digest", F.explode("near").alias("x")).select("digest", "x.entity", F.explode("x.terms").alias("term")).distinct().join(copies, "digest")
     named = materialize(named)
     wanted = materialize(named.groupBy("entity", "term").count().where(F.col("count") >= least_texts).select("term").distinct())
     lower = F.lower(F.coalesce(F.col(text_col), F.lit("")))
