@@ -155,6 +155,35 @@ def test_fuzzy_lines(spark):
     assert sorted((r.doc_id, r.n_lines_removed) for r in got) == [(1, 0), (2, 1), (3, 0)]
 
 
+def test_near_lines_at_defaults(spark):
+    """Groups by brute force, of lines of usual lengths with replaced words."""
+    rng, words = random.Random(6), vocabulary(1500)
+    kept = []
+    for n in [8, 12, 20, 40, 80] * 8:
+        x = passage(rng, words, n).split()
+        kept.append(" ".join(x))
+        for _ in range(2):
+            y = list(x)
+            for _ in range(rng.randint(1, max(1, n // 8))):
+                y[rng.randrange(n)] = rng.choice(words)
+            kept.append(" ".join(y))
+    root = list(range(len(kept)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(kept):
+        for j in range(i):
+            most = max(len(a), len(kept[j]))
+            if abs(len(a) - len(kept[j])) <= 0.2 * most and lines.edit_distance(a, kept[j]) <= (1 - 0.8) * most:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    got = lines.dedupe_lines(spark.createDataFrame(list(enumerate(kept)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_lines_removed} == {i for i in range(len(kept)) if find(i) != i}
+
+
 def test_edit_distance():
     def plain(a, b):
         p = list(range(len(b) + 1))
