@@ -16,7 +16,7 @@ from quillspark.operators import embeddings as E
 from quillspark.operators import models as M
 from quillspark.operators import search as S
 from quillspark.operators import subwords as B
-from quillspark.runtime import read_table
+from quillspark.runtime import materialize, read_table, small_side
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -288,7 +288,17 @@ def boolean_and(s, d):
 
 @query(f"WITH {WEIGHT} SELECT query_id, doc_id, term, round(part, 6) AS part FROM part WHERE part > 0 AND query_id < 10")
 def explain_score(s, d):
-    return engine(s, d).contributions(questions(s, d).where("query_id < 10")).where("part > 0").select("query_id", "doc_id", "term", F.round("part", 6).alias("part"))
+    """A sample of explain_score_all, as its SQL has it."""
+    return _explained(s, d, questions(s, d).where("query_id < 10"))
+
+
+@query(f"WITH {WEIGHT} SELECT query_id, doc_id, term, round(part, 6) AS part FROM part WHERE part > 0")
+def explain_score_all(s, d):
+    return _explained(s, d, questions(s, d))
+
+
+def _explained(s, d, asked: DataFrame) -> DataFrame:
+    return engine(s, d).contributions(asked).where("part > 0").select("query_id", "doc_id", "term", F.round("part", 6).alias("part"))
 
 
 @query(f"WITH {QTOK}, b AS (SELECT query_id, term, count(*) AS c FROM qlng GROUP BY query_id, term), n AS (SELECT query_id, sqrt(sum(c * c)) AS n FROM b GROUP BY query_id), x AS (SELECT a.query_id AS a, b2.query_id AS b, sum(a.c * b2.c) AS dot FROM b a JOIN b b2 ON a.term = b2.term AND a.query_id < b2.query_id GROUP BY 1, 2) SELECT a, b, round(dot / (na.n * nb.n), 6) AS cosine FROM x JOIN n na ON a = na.query_id JOIN n nb ON b = nb.query_id")
@@ -299,9 +309,19 @@ def pairwise_cosine(s, d):
     return x.join(n.select(F.col("query_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("query_id").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine"))
 
 
-def _few_vectors(s, d) -> tuple[DataFrame, DataFrame]:
+def _vector_pairs(s, d, asked: str) -> DataFrame:
     v = read_table(s, d, "embeddings")
-    return v.select("vec_id", F.col("embedding").alias("v")), v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = small_side(materialize(v.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))), 20_000)
+    return v.select("vec_id", F.col("embedding").alias("v")).crossJoin(q).where("vec_id <> query_id")
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    x = pairs.select("query_id", "vec_id", F.round(M.cosine("v", "q"), 6).alias("score"))
+    return x.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("rank <= 10")
+
+
+def _distances(pairs: DataFrame) -> DataFrame:
+    return pairs.select("query_id", "vec_id", F.round(M.euclidean("v", "q"), 6).alias("distance"))
 
 
 _COS = "list_sum(list_transform(range(1, len(a) + 1), lambda i: CAST(a[i] AS DOUBLE) * b[i]))"
@@ -310,15 +330,26 @@ _VEC = "p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, q.embedding AS a,
 
 @query(f"WITH {_VEC} SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d) WHERE rank <= 10")
 def knn_embeddings(s, d):
-    v, q = _few_vectors(s, d)
-    x = v.crossJoin(F.broadcast(q)).where("vec_id <> query_id").select("query_id", "vec_id", F.round(M.cosine("v", "q"), 6).alias("score"))
-    return x.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("rank <= 10")
+    """A sample of knn_embeddings_by_100, as its SQL has it; so is euclidean of euclidean_by_100."""
+    return _nearest(_vector_pairs(s, d, "vec_id < 5"))
 
 
 @query(f"WITH {_VEC} SELECT query_id, vec_id, distance FROM d")
 def euclidean(s, d):
-    v, q = _few_vectors(s, d)
-    return v.crossJoin(F.broadcast(q)).where("vec_id <> query_id").select("query_id", "vec_id", F.round(M.euclidean("v", "q"), 6).alias("distance"))
+    return _distances(_vector_pairs(s, d, "vec_id < 5"))
+
+
+_VEC_BY_100 = _VEC.replace("q.vec_id < 5", "q.vec_id % 100 = 0")
+
+
+@query(f"WITH {_VEC_BY_100} SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d) WHERE rank <= 10")
+def knn_embeddings_by_100(s, d):
+    return _nearest(_vector_pairs(s, d, "vec_id % 100 = 0"))
+
+
+@query(f"WITH {_VEC_BY_100} SELECT query_id, vec_id, distance FROM d")
+def euclidean_by_100(s, d):
+    return _distances(_vector_pairs(s, d, "vec_id % 100 = 0"))
 
 
 _ANALOGY = """unit AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS u FROM embeddings),

@@ -27,5 +27,13 @@ def test_query(spark, name):
     assert rows(catalogue.queries()[name](spark, DATA).toPandas()) == rows(con.execute(catalogue.oracle_sql()[name]).fetch_df())
 
 
+@pytest.mark.parametrize("name, table, asked", [("knn_embeddings_by_100", "embeddings", "vec_id % 100 = 0"), ("euclidean_by_100", "embeddings", "vec_id % 100 = 0"), ("explain_score_all", "benchmark", "true")])
+def test_searches_ask_all_rows(spark, name, table, asked):
+    test_query(spark, name)
+    ids = "vec_id" if table == "embeddings" else "item_id"
+    want = {r[0] for r in spark.read.parquet(f"{DATA}/{table}.parquet").where(asked).select(ids).collect()}
+    assert {r[0] for r in catalogue.queries()[name](spark, DATA).select("query_id").distinct().collect()} == want
+
+
 def test_every_oracle_has_a_query():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
