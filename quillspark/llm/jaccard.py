@@ -1,13 +1,15 @@
 """Exact n-gram Jaccard join by vertical partitioning of the global n-gram order.
 
-1. Shingles (64-bit hashes of n words) have one global order: those found often last, each kind by hash.
+1. Shingles (64-bit hashes of n words) have one global order: those found often last, by how often, each kind by hash.
 2. Prefix filtering on that order finds candidates: two sets that link share a shingle among the first few
    of both, at positions that leave room for the overlap they need.
 3. A bucket (one shingle) does not emit all its pairs. Its members are checked against two central ones;
-   linked members form components, and only pairs of different components are checked after that. So all
-   links between components are found, which is all that grouping needs.
-4. Before their sets are fetched, pairs must pass a parity check: 512 bits, each the parity of the set's shingles that fall
-   on it. A shingle that only one of two sets has flips one bit, so sets differ in no fewer shingles than bits.
+   linked members form components, and only pairs of different components and near sizes are checked after that. A bucket
+   of more than HOT members is cut before: as sets that link share two shingles of prefixes one longer, its members meet
+   anew in buckets of the shingle and a second one. So all links between components are found, which is all that
+   grouping needs.
+4. Before their sets are fetched, pairs must pass a parity check: two bits or more a shingle, each the parity of the set's
+   shingles that fall on it. A shingle that only one of two sets has flips one bit, so sets differ in no fewer shingles than bits.
 5. Checking is vertical: the order is cut into FRAGMENTS ranges, each pair's overlap is counted in each
    fragment on its own, and the partial counts are summed per pair.
 
@@ -16,36 +18,50 @@ Texts with equal shingle sets are one class, checked once, whatever the number o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import connected_components
-from quillspark.llm.words import LOWER, WordHashes, byte_rows, list_array, shingle_set, signed
+from quillspark.llm.words import hashed_texts, list_array, shingle_set, signed
 from quillspark.runtime import materialize, ship, small_side
 
-#: Vertical cuts of the global order, by the top three bits of a shingle's hash.
+#: Vertical cuts of the global order: seven hash ranges of the shingles that are not frequent, then the frequent ones.
 FRAGMENTS = 8
+#: Words of a run in which frequent shingles are counted before they are summed over all runs.
+RUN = 4_000_000
+#: A bucket with more members is cut by second shingles before pairs of its components are made.
+HOT = 64
 #: At most so many frequent shingles are moved to the end of the order (they are broadcast: 16 bytes each).
 #: The bound only changes how well candidates are filtered, never which links are found.
 MOST_FREQUENT = 1 << 18
 
 
-def _sets(texts: list[bytes | None], hashes: WordHashes, n: int) -> list[np.ndarray]:
-    return [shingle_set(hashes.of(t.translate(LOWER).split()), n) if t else np.zeros(0, np.uint64) for t in texts]
-
-
 def _class(s: np.ndarray) -> int:
     """64 bits that stand for a shingle set (an accidental match among 10^9 sets has a chance of 3 %)."""
     return xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0
 
 
-def _parity(s: np.ndarray) -> np.ndarray:
-    return np.packbits((np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64)
+def _parity(s: np.ndarray, fixed: bool) -> np.ndarray:
+    """At least two bits a shingle and 512 in all, a power of two, so that a longer one folds to a shorter by XOR of its halves.
+
+    fixed: 512 bits, for thresholds so low that linked sets can be more than twice as long as each other.
+    """
+    m = 512 if fixed else max(512, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _weights(s: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each shingle of a set was found, 0 for those that are not frequent."""
+    if not len(often):
+        return np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+    return np.where(often[at] == s, counts[at], 0)
 
 
 def _need(a: str, b: str, num: int, den: int) -> F.Column:
@@ -54,15 +70,22 @@ def _need(a: str, b: str, num: int, den: int) -> F.Column:
 
 
 def frequent_shingles(docs: DataFrame, n: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Shingles counted at least 16 times, by counts within runs of 48 MB of text (3 at least) summed over all."""
+    """Shingles counted at least 16 times, by counts within runs of RUN words (2 at least) summed over all."""
+
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, found = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64),) * 2
+        twice = found >= 2
+        return pa.RecordBatch.from_arrays([pa.array(signed(keys[twice])), pa.array(found[twice].astype(np.int64))], names=["key", "found"])
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for _, texts in byte_rows(batches, text_col, 48 << 20):
-            sets = _sets(texts, hashes, n)
-            keys, found = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64),) * 2
-            often = found >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(signed(keys[often])), pa.array(found[often].astype(np.int64))], names=["key", "found"])
+        held, size = [], 0
+        for _, texts in hashed_texts(batches, text_col):
+            held += [shingle_set(h, n) for h in texts]
+            size += sum(map(len, texts))
+            if size >= RUN:
+                yield often(held)
+                held, size = [], 0
+        yield often(held)
 
     total = materialize(docs.select(text_col).mapInArrow(counts, "key long, found long").groupBy("key").agg(F.sum("found").alias("found")).where("found >= 16"))
     by_size = sorted(((r[0], r[1]) for r in total.groupBy(F.expr("cast(floor(log2(found)) as int)")).count().collect()), reverse=True)
@@ -77,17 +100,15 @@ def frequent_shingles(docs: DataFrame, n: int, text_col: str = "text") -> tuple[
     return keys[order], found[order]
 
 
-def _prefixes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """id, cls, n_shingles, keys: the set's prefix in the global order; empty if this task gave the class before."""
-    keys, found = frequent_shingles(docs, n, text_col)
-    held = docs.sparkSession.sparkContext.broadcast((keys, found))
+def _prefixes(docs: DataFrame, held, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """id, cls, n_shingles, keys, bits: the set's prefix in the global order and one shingle more; empty if this task gave the class before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen = set()
         often, counts = held.value
-        for part, texts in byte_rows(batches, text_col):
+        for part, texts in hashed_texts(batches, text_col):
             classes, sizes, prefixes, bits = [], [], [], []
-            for s in _sets(texts, hashes, n):
+            for s in (shingle_set(h, n) for h in texts):
                 c, size = _class(s), len(s)
                 classes.append(c)
                 sizes.append(size)
@@ -95,18 +116,13 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col
                     prefixes.append(s[:0])
                     bits.append(s[:0].view(np.int64))
                     continue
-                bits.append(_parity(s))
-                if len(seen) >= 500_000:
+                bits.append(_parity(s, 2 * num < den))
+                if len(seen) >= 100_000:
                     seen.clear()
                 seen.add(c)
                 least = -(-num * size // den)
-                length = size - -(-num * (size + least) // (num + den)) + 1
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    weight = np.where(often[at] == s, counts[at], 0)
-                    s = s[np.argsort(weight, kind="stable")[:length]]
-                else:
-                    s = s[:length]
+                length = size - -(-num * (size + least) // (num + den)) + 2
+                s = s[np.argsort(_weights(s, often, counts), kind="stable")[:length]]
                 prefixes.append(s)
             arrays = [part.column(part.schema.get_field_index(id_col)), pa.array(signed(np.array(classes, np.uint64))), pa.array(sizes, pa.int64()), list_array([signed(p) for p in prefixes], pa.int64()), list_array(bits, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "cls", "n_shingles", "keys", "bits"])
@@ -115,18 +131,19 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col
     return materialize(docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, cls long, n_shingles long, keys array<long>, bits array<long>"))
 
 
-def _fragment_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+def _fragment_sets(docs: DataFrame, held, table: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(cls, size, fragment, part) of the wanted classes, from the text of one document of each."""
     ids = table.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("wanted_id")).select("wanted_id").distinct()
     ids = small_side(materialize(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for _, texts in byte_rows(batches, text_col):
+        cuts = np.arange(1, FRAGMENTS - 1, dtype=np.uint64) * np.uint64((1 << 64) // (FRAGMENTS - 1))
+        for _, texts in hashed_texts(batches, text_col):
             classes, sizes, fragments, parts = [], [], [], []
-            for s in _sets(texts, hashes, n):
-                edges = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(61))
-                for f, part in enumerate(np.split(s, edges)):
+            for s in (shingle_set(h, n) for h in texts):
+                rare = _weights(s, *held.value) == 0
+                own = s[rare]
+                for f, part in enumerate([*np.split(own, np.searchsorted(own, cuts)), s[~rare]]):
                     if len(part):
                         classes.append(_class(s))
                         sizes.append(len(s))
@@ -153,49 +170,85 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return shared.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size")).where(F.col("shared") >= _need("a_size", "b_size", num, den)).select("a", "b")
 
 
+def _near(den: int, num: int) -> F.Column:
+    return (F.col("cls") != F.col("p_cls")) & (den * F.least("size", "p_size") >= num * F.greatest("size", "p_size"))
+
+
+def _room(num: int, den: int) -> F.Column:
+    return 1 + F.least(F.expr("size - pos"), F.expr("p_size - p_pos")) >= _need("size", "p_size", num, den)
+
+
 def _pairs(x: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (a, b) from rows with two bucket members that leave room for a link and pass the parity check."""
-    fits = (F.col("cls") != F.col("p_cls")) & (den * F.least("size", "p_size") >= num * F.greatest("size", "p_size")) & (1 + F.least(F.expr("size - pos"), F.expr("p_size - p_pos")) >= _need("size", "p_size", num, den))
-    pairs = x.where(fits).select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b"), (F.col("size") + F.col("p_size") - 2 * _need("size", "p_size", num, den)).alias("most")).distinct()
+    """Distinct (a, b) from rows with two members of near sizes that pass the parity check."""
+    pairs = x.select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b"), (F.col("size") + F.col("p_size") - 2 * _need("size", "p_size", num, den)).alias("most")).distinct()
     a, b = (bits.select(F.col("cls").alias(c), F.col("bits").alias(f"{c}_bits")) for c in "ab")
-    apart = sum((F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(1, 8)), F.bit_count(F.col("a_bits")[0].bitwiseXOR(F.col("b_bits")[0])))
+    # As sizes are near, one is at most a power of two longer; it is folded to the shorter.
+    fold = lambda long, short: F.when(F.size(long) > F.size(short), F.zip_with(F.slice(long, F.lit(1), F.size(short)), F.slice(long, F.size(short) + 1, F.size(short)), lambda u, v: u.bitwiseXOR(v))).otherwise(F.col(long))
+    bit = F.zip_with(fold("a_bits", "b_bits"), fold("b_bits", "a_bits"), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    apart = F.aggregate(bit, F.lit(0), lambda s, v: s + v)
     return pairs.join(a, "a").join(b, "b").where(apart <= F.col("most")).select("a", "b")
 
 
-def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _across(tagged: DataFrame, bucket: list[str], num: int, den: int) -> DataFrame:
+    """Rows with two members of near sizes of a bucket that lie in different components. Sizes within den / num of each other
+    are in the same band or in neighbouring ones, so members meet by bucket and band only."""
+    band = F.floor(F.log("size") / math.log(den / num + 1e-9)).cast("int") if num < den else F.col("size").cast("int")
+    x = tagged.withColumn("band", band)
+    other = x.select(*bucket, "band", *(F.col(c).alias(f"p_{c}") for c in ("cls", "size", "pos", "comp")))
+    mine = x.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    # Of a pair in one band both orders come; of one in neighbouring bands, the lower member reaches up.
+    return mine.join(other, [*bucket, "band"]).where((F.col("comp") != F.col("p_comp")) & _near(den, num))
+
+
+def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per row of `docs`: id_col, class_id, n_shingles, component_id.
 
     Sets of lower-cased n-word shingles link when den * intersection >= num * union. component_id is the
     smallest id reachable by links (its own included). Rows whose set is empty (null, empty or blank text)
     are alone: class_id 0, component_id their own id. A text of fewer than n words is one shingle. Repeated
     rows and equal ids are rows like others; a null id never becomes a component_id unless all are null.
-    An empty table gives no rows. Other columns of `docs` are not read.
+    A text is read whole, however long: its task holds its words and 8 bytes a shingle. An empty table gives no rows.
+    Other columns of `docs` are not read.
     """
+    if not 0 < num <= den:
+        raise ValueError("num / den must be in (0, 1]")
     ship(docs.sparkSession)
-    table = _prefixes(docs, n, num, den, id_col, text_col)
-    rows = table.where(F.size("keys") > 0).select(F.col("cls"), F.col("n_shingles").alias("size"), F.posexplode("keys").alias("pos", "key")).select("key", "cls", "size", (F.col("pos") + 1).cast("long").alias("pos"))
-    shared = rows.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key")
-    members = materialize(rows.join(shared, "key").groupBy("key", "cls").agg(F.first("size").alias("size"), F.first("pos").alias("pos")))
+    held = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n, text_col))
+    table = _prefixes(docs, held, n, num, den, id_col, text_col)
+    rows = table.where(F.size("keys") > 0).select(F.col("cls"), F.col("n_shingles").alias("size"), F.posexplode("keys").alias("pos", "key"), F.size("keys").alias("last")).select("key", "cls", "size", (F.col("pos") + 1).cast("int").alias("pos"), (F.col("pos") + 1 == F.col("last")).alias("extra"))
+    # The shingle beyond a prefix serves only to cut hot buckets; a set shorter than that has it in its prefix.
+    prefix = rows.where(~F.col("extra") | (F.col("pos") == F.col("size"))).drop("extra")
+    w = Window.partitionBy("key")
+    met = prefix.withColumn("low", F.min("cls").over(w)).withColumn("high", F.max("cls").over(w)).where("low < high")
+    members = materialize(met.groupBy("key", "cls").agg(F.first("size").alias("size"), F.first("pos").alias("pos")))
     bits = materialize(table.where(F.size("bits") > 0).groupBy("cls").agg(F.first("bits").alias("bits")))
 
     row = F.struct(F.col("cls").alias("p_cls"), F.col("size").alias("p_size"), F.col("pos").alias("p_pos"))
     chance = F.xxhash64("key", "cls")
     central = members.groupBy("key").agg(F.min_by(row, F.struct(F.col("pos"), chance)).alias("p1"), F.min_by(row, chance).alias("p2")).select("key", F.explode(F.array_distinct(F.array("p1", "p2"))).alias("p")).select("key", "p.*")
-    first = materialize(_pairs(members.join(central, "key"), bits, num, den))
+    first = materialize(_pairs(members.join(central, "key").where(_near(den, num) & _room(num, den)), bits, num, den))
 
     def check(pairs: DataFrame) -> DataFrame:
         wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-        return materialize(_links(pairs, _fragment_sets(docs, table, wanted, n, id_col, text_col), num, den))
+        return materialize(_links(pairs, _fragment_sets(docs, held, table, wanted, n, id_col, text_col), num, den))
 
     links = check(first)
     comps = connected_components(links)
 
     tagged = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    tagged = materialize(tagged.join(tagged.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"), "key"))
-    main = tagged.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    minor = tagged.join(main, "key").where("comp <> main").drop("main")
-    both = minor.join(tagged.select("key", F.col("cls").alias("p_cls"), F.col("size").alias("p_size"), F.col("pos").alias("p_pos"), F.col("comp").alias("p_comp")), "key").where("comp <> p_comp")
-    second = materialize(_pairs(both, bits, num, den).join(first, ["a", "b"], "left_anti"))
+    apart = tagged.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).withColumn("members", F.count(F.lit(1)).over(w)).where("low < high").drop("low", "high")
+    apart = materialize(apart)
+    few = _across(apart.where(F.col("members") <= hot).drop("members"), ["key"], num, den).where(_room(num, den))
+    second = _pairs(few, bits, num, den)
+    crowded = apart.where(F.col("members") > hot).drop("members")
+    if not crowded.isEmpty():
+        seconds = table.where(F.size("keys") > 0).groupBy("cls").agg(F.first("keys").alias("keys")).join(crowded.select("cls").distinct(), "cls", "left_semi")
+        cut = crowded.join(seconds, "cls").select("key", "cls", "size", "pos", "comp", F.explode("keys").alias("other")).where("other <> key")
+        cut = cut.select(F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other"), "cls", "size", "pos", "comp")
+        both = Window.partitionBy("key", "other")
+        cut = cut.withColumn("low", F.min("comp").over(both)).withColumn("high", F.max("comp").over(both)).where("low < high").drop("low", "high").distinct()
+        second = second.unionByName(_pairs(_across(cut, ["key", "other"], num, den), bits, num, den)).distinct()
+    second = materialize(second.join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         more = check(second)
         if not more.isEmpty():

@@ -5,6 +5,7 @@ A word is `[^\\x20\\x09-\\x0D]+`; on UTF-8 bytes that is exactly what bytes.spli
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 class WordHashes(dict):
     """word bytes -> 64-bit hash; starts anew when it holds `limit` words, so its memory is bounded."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 250_000) -> None:
         super().__init__()
         self.limit = limit
 
@@ -58,7 +59,72 @@ def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(windows(h, n))
 
 
-def byte_rows(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 16 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+#: Random 64-bit numbers by place in a word (the first 64) and byte; a word's hash is their sum. Later places are mixed in place.
+_PLACES = 64
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LOW = np.frombuffer(LOWER, np.uint8)
+
+
+def _place_table() -> np.ndarray:
+    return mix(mix(np.arange(_PLACES * 256, dtype=np.uint64) + np.uint64(0x51ED270B)) + np.uint64(1))
+
+
+_TABLE = _place_table()
+
+
+def word_hashes(data: np.ndarray, borders: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, code points) of each word in UTF-8 `data`; no word reaches over a border (a place in `data`, in order)."""
+    dark = ~_BLANK[data]
+    begin = dark.copy()
+    begin[1:] &= ~dark[:-1]
+    inner = borders[(borders > 0) & (borders < len(data))]
+    begin[inner] = dark[inner]
+    at = np.flatnonzero(dark)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    firsts = np.flatnonzero(begin[at])
+    sizes = np.diff(firsts, append=len(at))
+    place = np.arange(len(at)) - np.repeat(firsts, sizes)
+    letters = data[at]
+    if lower:
+        letters = _LOW[letters]
+    values = _TABLE[np.minimum(place, _PLACES - 1) << 8 | letters]
+    if sizes.max() > _PLACES:
+        far = place >= _PLACES
+        values[far] = mix(mix(place[far].astype(np.uint64) << np.uint64(8) | letters[far]) + np.uint64(0x51ED270B))
+    return mix(np.add.reduceat(values, firsts)), at[firsts], np.add.reduceat(((letters & 0xC0) != 0x80).astype(np.int64), firsts)
+
+
+def hashed_texts(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Each batch, in runs of at most `most` bytes of text (or one row), with the hashes of each text's words (A-Z lower-cased), in order."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())
+        if not len(column):
+            yield batch, []
+            continue
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None and offsets[-1] else np.zeros(0, np.uint8)
+        start = 0
+        while start < batch.num_rows:
+            end = min(max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1), batch.num_rows)
+            borders = offsets[start : end + 1] - offsets[start]
+            hashes, first, _ = word_hashes(data[offsets[start] : offsets[end]], borders)
+            yield batch.slice(start, end - start), np.split(hashes, np.searchsorted(first, borders[1:-1]))
+            start = end
+    release()
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the system, as idle workers live on beside other operators' workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
+def byte_rows(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Each batch, in runs of at most `most` bytes of text (or one row), with its texts as UTF-8 bytes (null: None)."""
     for batch in batches:
         start, column = 0, batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())
@@ -69,6 +135,7 @@ def byte_rows(batches: Iterator[pa.RecordBatch], name: str = "text", most: int =
             part = batch.slice(start, end - start)
             yield part, column.slice(start, end - start).to_pylist()
             start = end
+    release()
 
 
 def signed(x: np.ndarray) -> np.ndarray:
