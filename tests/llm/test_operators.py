@@ -80,9 +80,9 @@ def brute_components(rows, n, num, den):
     return Counter((rows[i][0], len(sets[i]), least[find(i)]) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("n, num, den", [(3, 90, 100), (5, 8, 10)])
-def test_jaccard(docs, rows, n, num, den):
-    got = jaccard.ngram_jaccard(docs, n, num, den).collect()
+@pytest.mark.parametrize("n, num, den, hot", [(3, 90, 100, jaccard.HOT), (5, 8, 10, jaccard.HOT), (3, 90, 100, 1), (2, 1, 3, 2)])
+def test_jaccard(docs, rows, n, num, den, hot):
+    got = jaccard.ngram_jaccard(docs, n, num, den, hot=hot).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, n, num, den)
 
 
@@ -139,20 +139,32 @@ def test_lines(spark):
     a, b = "the quick brown fox jumps over it all", "A Line that says something of its own 17!"
     rows = [(1, f"{a}\nshort\n{b}", 0), (2, f"{a.upper()}\nshort\nnew words stand in this line now", 0), (3, b.replace("17", "23"), 0), (None, a, 0), (4, None, 0), (5, "", 0)]
     got = {r.doc_id: (r.text, r.n_lines_removed) for r in lines.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string, line int")).collect()}
-    assert got == {1: (f"{a}\nshort\n{b}", 0), 2: ("short\nnew words stand in this line now", 1), 3: ("", 1), None: ("", 1), 4: (None, 0), 5: ("", 0)}
+    assert got == {1: (f"{a}\nshort\n{b}", 0), 2: ("new words stand in this line now", 2), 3: ("", 1), None: ("", 1), 4: (None, 0), 5: ("", 0)}
 
 
-def test_fuzzy_lines(spark):
+def test_lines_of(rows):
+    texts = [lines.normalised((t or "").encode()) for _, t, *_ in rows] + [b"a\n\nb c\n", b"", b"\n\n x"]
+    x = lines.lines_of(texts)
+    want = [(i, p, len(b" ".join(line.split()).decode())) for i, t in enumerate(texts) for p, line in enumerate(t.split(b"\n")) if line.split()]
+    assert list(zip(x.text.tolist(), x.place.tolist(), x.size.tolist())) == want
+    shown = [b" ".join(texts[i].split(b"\n")[p].split()) for i, p, _ in want]
+    assert len(set(shown)) == len(set(x.name.tolist())) == len(set(zip(shown, x.name.tolist())))
+
+
+def test_simhashes():
     rng, words = random.Random(4), vocabulary(2000)
-    base = passage(rng, words, 900)
-    near = base.replace(base.split()[450], "changed", 1)
-    far = passage(rng, words, 900)
-    h = jaccard.WordHashes()
-    sims = lines.simhashes(np.concatenate([h.of(x.encode().split()) for x in (base, near, far)]), np.array([900, 1800, 2700]))
-    apart = lambda i, j: sum(int(a ^ b).bit_count() for a, b in zip(sims[i].tolist(), sims[j].tolist(), strict=True))
+    base = passage(rng, words, 900).split()
+    near = [*base[:450], "changed", *base[451:]]
+    far = passage(rng, words, 900).split()
+    x = lines.lines_of([" ".join(w).encode() for w in (base, near, far)])
+    sims = lines.simhashes(x.words, x.ends)
+    plain = []
+    for w in np.split(x.words, x.ends[:-1]):
+        bits = [np.unpackbits(lines.mix(w + np.uint64(half + 1)).view(np.uint8)).reshape(len(w), 64).sum(0) for half in (0, 1)]
+        plain.append([int(np.packbits(2 * b.astype(int) > len(w)).view(np.uint64)[0]) for b in bits])
+    assert sims.tolist() == plain
+    apart = lambda i, j: sum(int(a ^ b).bit_count() for a, b in zip(plain[i], plain[j], strict=True))
     assert apart(0, 1) <= 8 < apart(0, 2)
-    got = lines.dedupe_lines(spark.createDataFrame([(1, base), (2, near), (3, far)], "doc_id long, text string"), distance=8).collect()
-    assert sorted((r.doc_id, r.n_lines_removed) for r in got) == [(1, 0), (2, 1), (3, 0)]
 
 
 def test_near_lines_at_defaults(spark):
