@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -18,7 +17,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
 
     fit_bytes: the bytes of the longest prefix (of whole code points) that has at most `limit` tokens, read from the prefix
     table. ends: bytes up to the end of each token, so that the tokens of the first b bytes, budgets and cuts are looked up
-    in it. No begin, end or added tokens; strings of special tokens are those tokens. A null text counts as empty: 0, 0, false, 0.
+    in it. All come from the rows of the prefix table; a text of any length takes one pass. No begin, end or added tokens; strings of special tokens are those tokens. A null text counts as empty: 0, 0, false, 0.
     Rows are independent: repeated rows repeat, an empty table gives no rows, other columns are not read.
     """
     ship(docs.sparkSession)
@@ -29,12 +28,12 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
             sizes, counts, fits, rows = [], [], [], []
             for t in texts:
                 text = t.decode() if t else ""
-                ids, ends = bpe.running(text)
+                own, sums = bpe.cells(text)
                 sizes.append(len(t or b""))
-                counts.append(len(ids))
-                fits.append(bpe.longest_prefix(text, ends, limit))
+                counts.append(sums[-1] if sums else 0)
+                fits.append(bpe.longest_prefix(text, own, sums, limit))
                 if table:
-                    rows.append(ends.astype(np.int64))
+                    rows.append(bpe.ends(text))
             arrays = [part.column(part.schema.get_field_index(id_col)), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_()), pa.array(fits, pa.int64())]
             yield pa.RecordBatch.from_arrays([*arrays, list_array(rows, pa.int64())] if table else arrays, names=[id_col, "n_bytes", "n_tokens", "over_limit", "fit_bytes", "ends"][: 5 + table])
 

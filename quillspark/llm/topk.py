@@ -19,15 +19,28 @@ from pyspark.sql import functions as F
 from quillspark.runtime import materialize, ship
 
 
+#: Squared lengths from which no inner product is certain to fit a long; below EXACT doubles hold every one.
+MOST = float(1 << 62)
+EXACT = float(1 << 52)
+
+
 def whole_vectors(table: DataFrame, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, vec) with floor(scale * x), x as double; without vectors that are null or hold null or non-finite components."""
+    """(vec_id, vec) with floor(scale * x), x as double; without vectors that are null or hold null or non-finite components.
+
+    Vectors whose scaled squared length is 2^62 or more are left out too, as their scores fit no long.
+    """
     x = F.col(vec_col)
     ok = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
-    return table.where(ok & F.col(id_col).isNotNull()).select(F.col(id_col).alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).cast("array<long>").alias("vec"))
+    scaled = F.transform(x, lambda v: F.floor(F.least(F.greatest(v.cast("double") * scale, F.lit(-MOST)), F.lit(MOST))))
+    return table.where(ok & F.col(id_col).isNotNull()).select(F.col(id_col).alias("vec_id"), scaled.cast("array<long>").alias("vec")).where(_squared("vec") < MOST)
+
+
+def _squared(vec: str) -> F.Column:
+    return F.aggregate(vec, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
 
 
-def _matrix(vectors, dims: int) -> np.ndarray:
-    out = np.zeros((len(vectors), dims))
+def _matrix(vectors, dims: int, whole: bool = False) -> np.ndarray:
+    out = np.zeros((len(vectors), dims), np.int64 if whole else float)
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     return out
@@ -56,12 +69,12 @@ def expand(q: np.ndarray, q_dist: np.ndarray, bound: np.ndarray, x: np.ndarray,
     edges = list(range(0, len(x), annulus))
     low, high = x_dist[edges], x_dist[[min(e + annulus, len(x)) - 1 for e in edges]]
     gap = np.maximum(0.0, np.maximum(low[None, :] - q_dist[:, None], q_dist[:, None] - high[None, :]))
-    gap = np.maximum(0.0, gap - 1e-6 * (1.0 + q_dist[:, None]))
-    most = np.floor((lift[:, None] - gap * gap) / 2 + 1e-3)  # no score in the annulus is higher
+    gap = np.maximum(0.0, gap - 1e-6 * (1.0 + q_dist[:, None] + np.sqrt(lift[:, None])))
+    most = np.floor((lift[:, None] - gap * gap) / 2 * (1 + 1e-9) + 1e-3)  # no score in the annulus is higher
     out_q, out_x, out_s = [], [], []
     order = np.argsort(-most, axis=1, kind="stable")
     bound = bound.copy()
-    kept = [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(len(q))]
+    kept = [(np.zeros(0, q.dtype), np.zeros(0, np.int64)) for _ in range(len(q))]
     for turn in range(len(edges)):
         at = order[:, turn]
         live = np.flatnonzero(most[np.arange(len(q)), at] >= bound)
@@ -90,7 +103,7 @@ def expand(q: np.ndarray, q_dist: np.ndarray, bound: np.ndarray, x: np.ndarray,
     return np.concatenate(out_q).astype(np.int64), np.concatenate(out_x).astype(np.int64), np.concatenate(out_s)
 
 
-def top_k(table: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, scale: int = 64, pivots: int = 32, sample: int = 2048, per_block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def top_k(table: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, scale: int = 64, pivots: int = 32, sample: int = 2048, per_block: int = 4096, per_queries: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query row's k highest integer inner products with all other rows.
 
     Ties go to the smaller vec_id. Vectors that are null or hold null or non-finite components take no part, nor do rows
@@ -101,7 +114,7 @@ def top_k(table: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, scale
     spark = table.sparkSession
     ship(spark)
     rows = materialize(whole_vectors(table, scale, id_col, vec_col))
-    facts = rows.agg(F.max(F.size("vec")), F.max(F.aggregate("vec", F.lit(0).cast("long"), lambda a, v: a + v * v))).first()
+    facts = rows.agg(F.max(F.size("vec")), F.max(_squared("vec"))).first()
     schema = "query_id long, rank int, vec_id long, score long"
     if facts[0] is None:
         return spark.createDataFrame([], schema)
@@ -126,6 +139,9 @@ def top_k(table: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, scale
     salt = F.element_at(F.create_map(*[F.lit(v) for p, n in blocks.items() for v in (p, n)]), F.col("pivot"))
     index = index.withColumn("block", F.pmod("h", salt).cast("int"))
     asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), "vec").distinct()
+    # Queries are cut into parts too, so that a task holds per_queries of them and per_block vectors, whatever the table.
+    parts = max(1, -(-asked.count() // per_queries))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part")
 
     def routed(own: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,8 +154,8 @@ def top_k(table: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, scale
                 home = held[d[:, held].argmin(1)]
                 parts = []
                 for p, (_, low, high) in cells.items():
-                    gap = np.maximum(0.0, np.maximum(low - d[:, p], d[:, p] - high) - 1e-6 * (1 + d[:, p]))
-                    go = home == p if own else (home != p) & (np.floor((lift - gap * gap) / 2 + 1e-3) >= b["bound"].to_numpy())
+                    gap = np.maximum(0.0, np.maximum(low - d[:, p], d[:, p] - high) - 1e-6 * (1 + d[:, p] + np.sqrt(lift)))
+                    go = home == p if own else (home != p) & (np.floor((lift - gap * gap) / 2 * (1 + 1e-9) + 1e-3) >= b["bound"].to_numpy())
                     for block in range(blocks[p]):
                         part = b[go]
                         parts.append(pd.DataFrame({"pivot": np.int32(p), "block": np.int32(block), "query_id": part["query_id"], "q_vec": part["vec"], "q_dist": d[go, p], "bound": part["bound"] if "bound" in b else -np.inf}))
@@ -154,9 +170,10 @@ def top_k(table: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, scale
         if not len(left) or not len(right):
             return empty
         right = right.sort_values("dist", kind="stable").reset_index(drop=True)
-        x, q = _matrix(right["vec"], dims), _matrix(left["q_vec"], dims)
+        # Beyond what doubles hold exactly, scores are computed in whole numbers.
+        x, q = _matrix(right["vec"], dims, largest >= EXACT), _matrix(left["q_vec"], dims, largest >= EXACT)
         copies = np.array([len(i) for i in right["ids"]])
-        lift = (q * q).sum(1) + largest
+        lift = (q.astype(float) ** 2).sum(1) + largest
         # k + 1 as a query's own row is among the rows.
         a, b, s = expand(q, left["q_dist"].to_numpy(), left["bound"].to_numpy(), x, right["dist"].to_numpy(), copies, k + 1, lift)
         ids = right["ids"].to_numpy()
@@ -168,11 +185,11 @@ def top_k(table: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, scale
 
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = "query_id long, vec_id long, score long"
-    by_block = index.select("pivot", "block", "vec", "ids", "dist").groupBy("pivot", "block")
-    home = asked.mapInPandas(routed(True), to)
-    own = materialize(home.groupBy("pivot", "block").cogroup(by_block).applyInPandas(search, found).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k))
+    by_block = index.select("pivot", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "vec", "ids", "dist").groupBy("pivot", "block", "part")
+    home = asked.mapInPandas(routed(True), to).select("*", part)
+    own = materialize(home.groupBy("pivot", "block", "part").cogroup(by_block).applyInPandas(search, found).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k))
     bound = own.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("bound"))
-    rest = asked.join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))).mapInPandas(routed(False), to)
-    others = rest.groupBy("pivot", "block").cogroup(by_block).applyInPandas(search, found)
+    rest = asked.join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))).mapInPandas(routed(False), to).select("*", part)
+    others = rest.groupBy("pivot", "block", "part").cogroup(by_block).applyInPandas(search, found)
     both = own.drop("rank").unionByName(others).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     return both.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -243,13 +243,23 @@ def test_disclosing_terms(spark):
 def test_prefix_table():
     table = prefix_bpe.held(tokenizer_path())
     rng, parts = random.Random(2), [*" \n'.,1aZéß日\tdsrelv ", "the", " and", "<|endoftext|>", "  "]
-    for _ in range(150):
+    for _ in range(400):
         x = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
         want = [len(table.library.encode(x[:i], add_special_tokens=False).ids) for i in range(len(x) + 1)]
-        ids, ends = table.running(x)
-        assert ids.tolist() == table.library.encode(x, add_special_tokens=False).ids and table.prefix_counts(x) == want
-        if "<|endoftext|>" not in x:
-            assert table.longest_prefix(x, ends, 3) == len(x[: max(i for i, n in enumerate(want) if n <= 3)].encode())
+        own, sums = table.cells(x)
+        assert table.ids_of(x).tolist() == table.library.encode(x, add_special_tokens=False).ids
+        assert "".join(own) == x and (sums[-1] if sums else 0) == want[-1] and table.prefix_counts(x) == want
+        assert table.ends(x).tolist()[-1:] == ([len(x.encode())] if x else []) and len(table.ends(x)) == want[-1]
+        for budget in (0, 1, 3, 6):
+            assert table.longest_prefix(x, own, sums, budget) == len(x[: max(i for i, n in enumerate(want) if n <= budget)].encode())
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a" * 200_000, "x" * 100_000 + " " + "é" * 50_000])
+def test_long_runs(text):
+    table = prefix_bpe.held(tokenizer_path())
+    n = len(table.library.encode(text, add_special_tokens=False).ids)
+    own, sums = table.cells(text)
+    assert sums[-1] == n == len(table.ids_of(text)) and 0 < table.longest_prefix(text, own, sums, 512) < len(text.encode())
 
 
 def test_token_counts(docs, rows):
@@ -329,6 +339,17 @@ def test_top_k(spark):
     assert got == sorted(want)
 
 
+def test_top_k_of_large_values(spark):
+    x = [[2e7 + i, -1e7 + 3 * i] for i in range(40)] + [[1e30, 1.0]]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>"), k=3, per_queries=1).orderBy("query_id", "rank").collect()]
+    v = [[int(64 * c) for c in r] for r in x[:40]]
+    want = []
+    for q in (0, 20):
+        s = sorted(((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in range(40) if i != q))[:3]
+        want += [(q, k + 1, i, -n) for k, (n, i) in enumerate(s)]
+    assert got == want
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     at = docs.select(*corpus_pipeline.COLUMNS)
