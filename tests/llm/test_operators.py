@@ -231,6 +231,20 @@ def test_personal_data(spark):
         assert (got[i].base_sha256, got[i].spans) == (hashlib.sha256(shown.encode()).hexdigest(), shown)
 
 
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"é{i}@mail.example.com or a{i}@b.co" for i in range(10000))
+    row = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(PLAIN["email"], text))
+    assert row.n_email == 20000 and row.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_disclosing_terms_of_a_class(spark):
+    """Each mail stands once; the term goes with their domain."""
+    rows = [(i, f"note {i} of Quibblestone u{i}@mail.example.com on day{i}") for i in range(4)] + [(100 + i, f"text {i} of someone u{i}@host{i}.example.org") for i in range(40)]
+    got = {r.doc_id: r.n_term for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] >= 1 for i in range(4)) and all(got[100 + i] == 0 for i in range(40))
+
+
 def test_disclosing_terms(spark):
     rows = [(i, f"note {i} by Zebulonia zz@mail.example.com sent on day{i}") for i in range(8)] + [(100 + i, f"other text number {i} sent by someone") for i in range(60)]
     got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
