@@ -1,14 +1,14 @@
 """Sharding by minimax contiguous partition: atomic groups in a fixed order, cut so that the largest shard is smallest.
 
 Groups are equal texts, in the order of a digest. The smallest feasible capacity is found by binary search with a greedy
-check. The driver does not see all groups: it holds sums over ranges of digests, and only ranges in which a cut can fall
+check; among the cuts of that capacity those nearest to even shares are taken. The driver does not see all groups: it holds sums over ranges of digests, and only ranges in which a cut can fall
 are asked for in finer parts, until every such part is one group. Each level shrinks what is open, so what the driver holds
 stays near the number of ranges of the first level, whatever the table.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
@@ -37,6 +37,29 @@ def greedy_cuts(ends: list[int], capacity: int, most: int) -> list[int] | None:
     return cuts
 
 
+def even_cuts(ends: list[int], capacity: int, shards: int) -> list[int]:
+    """Item counts at which shards end, none above `capacity`, each cut as near to its even share as the others allow.
+
+    Greedy cuts from the left bound each cut from above, greedy ones from the right from below; between the two the item end
+    nearest to j / shards of the whole is taken. So the least capacity holds, and shards do not get smaller to the right.
+    """
+    n, total = len(ends), ends[-1] if ends else 0
+    first = [n] * (shards + 1)  # the earliest place from which the items fit the shards that are left
+    for j in range(shards - 1, -1, -1):
+        stop = ends[first[j + 1] - 1] if first[j + 1] else 0
+        first[j] = bisect_left(ends, stop - capacity) + (1 if stop > capacity else 0) if first[j + 1] else 0
+    cuts, at = [], 0
+    for j in range(1, shards + 1):
+        base = ends[at - 1] if at else 0
+        most = bisect_right(ends, base + capacity)
+        ideal = bisect_left(ends, j * total / shards)  # items ending before the share; the next one may be nearer
+        if ideal < n and (not ideal or ends[ideal] - j * total / shards <= j * total / shards - ends[ideal - 1]):
+            ideal += 1
+        at = n if j == shards else min(max(ideal, first[j], at), most)
+        cuts.append(at)
+    return cuts
+
+
 def least_capacity(sizes: list[int], shards: int) -> int:
     """The smallest capacity with which the items in order need at most `shards` shards."""
     ends = list(accumulate(sizes))
@@ -98,9 +121,9 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     if items:
         sizes = [x[1] for x in items]
         capacity = least_capacity(sizes, shards)
-        bounds = [items[c][0] for c in greedy_cuts(list(accumulate(sizes)), capacity, shards)[:-1]]
+        bounds = [items[c][0] for c in even_cuts(list(accumulate(sizes)), capacity, shards) if c < len(items)]
     number = F.lit(0)
-    for b in bounds:
+    for b in bounds:  # a bound that stands twice leaves a shard empty
         number = number + F.when(F.col("digest") >= b, 1).otherwise(0)
     n = rows.count()
     parts = max(1, n // (shards * per_slot_group) * 4 + 1)

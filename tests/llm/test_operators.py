@@ -329,6 +329,19 @@ def test_sharding(docs, rows):
     assert len({(r.text_crc32, r.size, r.shard) for r in got}) == len({(r.text_crc32, r.size) for r in got})
 
 
+def test_even_cuts():
+    rng = random.Random(9)
+    for _ in range(300):
+        sizes = [rng.randint(1, rng.choice([3, 40])) for _ in range(rng.randint(1, 30))]
+        shards = rng.randint(1, 8)
+        ends = np.cumsum(sizes).tolist()
+        least = sharding.least_capacity(sizes, shards)
+        cuts = sharding.even_cuts(ends, least, shards)
+        found = [sum(sizes[a:b]) for a, b in zip([0, *cuts], cuts)]
+        assert len(cuts) == shards and cuts[-1] == len(sizes) and sum(found) == sum(sizes) and max(found) == least
+    assert [len(x) for x in np.split(np.arange(400), sharding.even_cuts(list(range(1, 401)), sharding.least_capacity([1] * 400, 40), 40)[:-1])] == [10] * 40
+
+
 def test_urls(spark):
     seen = ["http://a.com/x", "http://com/", "http://a.com", "http://www.example.com/en/1", "http://b.example.com/en/1", "http://B.Example.COM/en/1?q", "https://x.net/es/", "https://x.net/fr", "https://notnet/fr/1", "no url", None, "https://spam-farm.example.org/q", "://h.net/fr/a#b"]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(spark.createDataFrame(list(enumerate(seen)), "page_id long, url string")).collect()}
