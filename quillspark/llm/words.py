@@ -85,15 +85,19 @@ def word_hashes(data: np.ndarray, borders: np.ndarray, lower: bool = True) -> tu
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     firsts = np.flatnonzero(begin[at])
     sizes = np.diff(firsts, append=len(at))
-    place = np.arange(len(at)) - np.repeat(firsts, sizes)
+    place = np.arange(len(at), dtype=np.int32) - np.repeat(firsts.astype(np.int32), sizes)
     letters = data[at]
+    points = sizes if letters.max() < 128 else np.add.reduceat((letters & 0xC0) != 0x80, firsts, dtype=np.int64)
     if lower:
         letters = _LOW[letters]
-    values = _TABLE[np.minimum(place, _PLACES - 1) << 8 | letters]
-    if sizes.max() > _PLACES:
-        far = place >= _PLACES
-        values[far] = mix(mix(place[far].astype(np.uint64) << np.uint64(8) | letters[far]) + np.uint64(0x51ED270B))
-    return mix(np.add.reduceat(values, firsts)), at[firsts], np.add.reduceat(((letters & 0xC0) != 0x80).astype(np.int64), firsts)
+    far = np.flatnonzero(place >= _PLACES) if sizes.max() > _PLACES else None
+    late = place[far] if far is not None else None
+    if far is not None:
+        place[far] = 0
+    values = _TABLE[(place << 8) | letters]
+    if far is not None:
+        values[far] = mix(mix(late.astype(np.uint64) << np.uint64(8) | letters[far]) + np.uint64(0x51ED270B))
+    return mix(np.add.reduceat(values, firsts)), at[firsts], points
 
 
 def hashed_texts(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
