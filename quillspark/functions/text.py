@@ -125,9 +125,16 @@ def pad(tokens: Column, n: int) -> Column:
     return F.concat(F.array_repeat(F.lit(BOS), n - 1), tokens, F.array(F.lit(EOS)))
 
 
-def char_ngrams(text: Column, n: int, strip_spaces: bool = False) -> Column:
+def folded_char_ngrams(text: Column, n: int = 2, native: bool = False) -> Column:
+    """Letter n-grams of the folded, composed text without blanks; punctuation stays. native: for text known to be composed."""
+    return char_ngrams(fold_native(text) if native else normalize_unicode(fold(text)), n, True, True)
+
+
+def char_ngrams(text: Column, n: int, strip_spaces: bool = False, native: bool = False) -> Column:
+    """Windows of n code points of the composed text. native: for text known to be composed."""
     if n < 1:
         raise ValueError("n must be at least 1")
+    text = text if native else normalize_unicode(text)
     text = F.regexp_replace(text, f"[{SPACE}]+", "") if strip_spaces else text
     none = F.array().cast("array<string>")
     return once(text, lambda t: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))).otherwise(none))

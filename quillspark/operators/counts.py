@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.runtime import placed
+
 
 def long(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
@@ -18,8 +20,8 @@ def frequencies(items: DataFrame, item: str = "term") -> DataFrame:
 
 
 def ranked(freqs: DataFrame, item: str = "term") -> DataFrame:
-    """With rank by count, then item: one task orders the distinct items, so it is for reports on vocabularies."""
-    return freqs.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), item)))
+    """With rank by count, then item, from 1."""
+    return placed(freqs, F.desc("n"), F.col(item)).withColumn("rank", (F.col("place") + 1).cast("int")).drop("place")
 
 
 def top(freqs: DataFrame, k: int, item: str = "term") -> DataFrame:
@@ -56,6 +58,8 @@ def zipf_exponent(freqs: DataFrame, max_rank: int | None = None) -> DataFrame:
         raise ValueError("max_rank must be at least 2")
     x = ranked(freqs)
     x = x if max_rank is None else x.where(F.col("rank") <= max_rank)
+    if x.limit(2).count() < 2:
+        raise ValueError("a slope needs two types")
     return x.agg((-F.regr_slope(F.ln("n"), F.ln("rank"))).alias("exponent"))
 
 
@@ -83,7 +87,7 @@ def vocabulary(index: DataFrame, documents: int, min_df: int = 1, max_df: float
 
 def numbered(vocab: DataFrame) -> DataFrame:
     """idx by alphabet from 0; only dense vectors need it."""
-    return vocab.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
+    return placed(vocab, "term", name="idx").withColumn("idx", F.col("idx").cast("int"))
 
 
 def tf(scheme: str, count: Column, total: Column) -> Column:
@@ -106,6 +110,39 @@ def weights(index: DataFrame, vocab: DataFrame, documents: int, tf_scheme: str =
     return x.select("doc_id", "term", (tf(tf_scheme, F.col("tf"), F.col("total")) * idf(idf_scheme, F.col("df"), F.lit(documents))).alias("w"))
 
 
+def checked_idf(scheme: str, index: DataFrame, terms: DataFrame, documents: int) -> DataFrame:
+    """(term, idf) of a vocabulary (term), also of terms no document has. ValueError where a scheme is not defined for a term."""
+    x = terms.select("term").join(document_frequencies(index), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+    low, high = x.agg(F.min("df"), F.max("df")).first()
+    if scheme in ("classic", "probabilistic") and low == 0:
+        raise ValueError(f"{scheme} idf has no value for a term that no document has")
+    if scheme == "probabilistic" and high == documents:
+        raise ValueError("probabilistic idf has no value for a term that every document has")
+    return x.select("term", idf(scheme, F.col("df"), F.lit(documents)).alias("idf"))
+
+
+def top_terms(weights: DataFrame, vocab: DataFrame, k: int = 5) -> DataFrame:
+    """(doc_id, term, w, rank): each document's k highest weights, ties by term; where it has fewer terms, the first of the rest at 0."""
+    w = Window.partitionBy("doc_id").orderBy(F.desc("w"), "term")
+    own = weights.select("doc_id", "term", F.round("w", 6).alias("w"))
+    best = own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    short = best.groupBy("doc_id").agg(F.collect_set("term").alias("has")).where(F.size("has") < k)  # fewer than k
+    fill = vocab.select("term").orderBy("term").limit(2 * k)  # k of these are not among the fewer than k it has
+    zeros = short.crossJoin(F.broadcast(fill)).where(~F.array_contains("has", F.col("term"))).select("doc_id", "term", F.lit(0.0).alias("w"))
+    return best.select("doc_id", "term", "w").unionByName(zeros).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def to_sparse(vector: Column) -> Column:
+    """A dense array as a map of the places (from 0) that are not zero."""
+    pairs = F.transform(vector, lambda x, i: F.struct(i.alias("key"), x.alias("value")))
+    return F.map_from_entries(F.filter(pairs, lambda p: p["value"] != 0))
+
+
+def vocabulary_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The terms (term) of a that b has not, each once."""
+    return a.select("term").distinct().join(b.select("term"), "term", "left_anti")
+
+
 def oov_rate(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     known = long(tokens).join(vocab.select("term", F.lit(1).alias("known")), "term", "left").groupBy("doc_id").agg(F.avg(F.col("known").isNull().cast("double")).alias("oov_rate"))
     return tokens.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("oov_rate", F.lit(0.0)).alias("oov_rate"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import counts
+from quillspark.runtime import materialize, small_side
 
 
 class NaiveBayes:
@@ -37,7 +38,9 @@ class NaiveBayes:
         return e.select("doc_id", "label", (F.col("e") / F.sum("e").over(w)).alias("p"))
 
     def predict(self, tokens: DataFrame) -> DataFrame:
-        return self.scores(tokens).groupBy("doc_id").agg(F.min_by("label", F.struct(-F.round("log_score", 4), "label")).alias("label"))
+        """The label of the highest score, ties to the smallest; differences below 1e-9 of the score are the order of summing."""
+        exact = F.bround(F.col("log_score"), 8)
+        return self.scores(tokens).groupBy("doc_id").agg(F.min_by("label", F.struct(-exact, "label")).alias("label"))
 
     def top_features(self, k: int) -> DataFrame:
         w = Window.partitionBy("term").orderBy(F.desc("ll"), "label")
@@ -109,13 +112,78 @@ def cooccurrence(tokens: DataFrame, window: int = 2, symmetric: bool = True) ->
     return x.groupBy("term", "ctx").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ppmi(cells: DataFrame) -> DataFrame:
-    """(term, ctx, ppmi) of the counted cells; marginals are those of the counts."""
-    rows = cells.groupBy("term").agg(F.sum("n").alias("r"))
-    cols = cells.groupBy("ctx").agg(F.sum("n").alias("c"))
+def pmi(cells: DataFrame, positive: bool = True, epsilon: float = 0.0) -> DataFrame:
+    """(term, ctx, pmi) of (term, ctx, n); marginals are those of the counts. positive: nothing below 0.
+
+    epsilon is added to every cell of the square table, so with it all pairs of words come out, counted or not.
+    """
+    if epsilon < 0:
+        raise ValueError("epsilon must not be negative")
+    if epsilon:
+        names = cells.select("term").union(cells.select("ctx")).distinct()
+        square = names.crossJoin(names.withColumnRenamed("term", "ctx"))
+        cells = square.join(cells, ["term", "ctx"], "left").select("term", "ctx", (F.coalesce("n", F.lit(0)) + F.lit(float(epsilon))).alias("n"))
+    cells = materialize(cells)
+    rows = small_side(materialize(cells.groupBy("term").agg(F.sum("n").alias("r"))))
+    cols = small_side(materialize(cells.groupBy("ctx").agg(F.sum("n").alias("c"))))
     total = cells.agg(F.sum("n").alias("t"))
     x = cells.join(rows, "term").join(cols, "ctx").crossJoin(F.broadcast(total))
-    return x.select("term", "ctx", F.greatest(F.ln(F.col("n") * F.col("t") / (F.col("r").cast("double") * F.col("c"))), F.lit(0.0)).alias("ppmi"))
+    value = F.ln(F.col("n") * F.col("t") / (F.col("r").cast("double") * F.col("c")))
+    return x.select("term", "ctx", (F.greatest(value, F.lit(0.0)) if positive else value).alias("pmi"))
+
+
+def ppmi(cells: DataFrame) -> DataFrame:
+    """(term, ctx, ppmi) of the counted cells."""
+    return pmi(cells).withColumnRenamed("pmi", "ppmi")
+
+
+def table_sparsity(cells: DataFrame, value: str = "n") -> DataFrame:
+    """Share of zero cells in the square table that (term, ctx, value) stands for; 0 for no words."""
+    size = cells.select("term").union(cells.select("ctx")).distinct().agg(F.count(F.lit(1)).alias("v"))
+    filled = cells.agg(F.count(F.when(F.col(value) != 0, 1)).alias("filled"))
+    return filled.crossJoin(size).select(F.when(F.col("v") > 0, 1 - F.col("filled") / (F.col("v") * F.col("v"))).otherwise(0.0).alias("sparsity"))
+
+
+def top_associations(cells: DataFrame, word: str, k: int = 5, value: str = "ppmi") -> DataFrame:
+    """The k contexts of highest value of a word, itself left out; zero cells fill up what is missing, by term. KeyError for an unknown word."""
+    names = cells.select(F.col("term").alias("ctx")).union(cells.select("ctx")).distinct()
+    if names.where(F.col("ctx") == word).isEmpty():
+        raise KeyError(word)
+    own = cells.where((F.col("term") == word) & (F.col("ctx") != word)).select("ctx", value)
+    rest = names.where(F.col("ctx") != word).join(own.select("ctx"), "ctx", "left_anti").orderBy("ctx").limit(k).select("ctx", F.lit(0.0).alias(value))
+    return own.unionByName(rest).select("ctx", F.round(value, 6).alias(value)).orderBy(F.desc(value), "ctx").limit(k)
+
+
+def perplexity(model: NgramModel, sentences: DataFrame) -> DataFrame:
+    """exp of the mean negative log probability of a token, end marks counted; infinite if any sentence is impossible."""
+    if sentences.isEmpty():
+        raise ValueError("no sentences")
+    x = model.log_probability(sentences).agg(F.sum("logp").alias("logp"), F.sum("tokens").alias("n"))
+    return x.select(F.when(F.col("logp") == float("-inf"), float("inf")).otherwise(F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
+
+
+def apply_temperature(dist: DataFrame, temperature: float = 1.0) -> DataFrame:
+    """(token, p) with p to the power 1 / temperature, summing to one; a distribution of zeros stays."""
+    if temperature <= 0:
+        raise ValueError("temperature must be positive")
+    hot = F.pow("p", F.lit(1 / temperature))
+    total = F.sum(hot).over(Window.partitionBy())
+    return dist.withColumn("p", F.when(total > 0, hot / total).otherwise(F.col("p")))
+
+
+def top_k_filter(dist: DataFrame, k: int) -> DataFrame:
+    """The k most likely tokens (ties by token), summing to one."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    kept = dist.orderBy(F.desc(F.round("p", 12)), "token").limit(k)
+    total = F.sum("p").over(Window.partitionBy())
+    return kept.withColumn("p", F.when(total > 0, F.col("p") / total).otherwise(F.col("p")))
+
+
+def smoothing_cost(model: NgramModel, context: list[str]) -> DataFrame:
+    """(seen, cost): the probability of the continuations seen after a context, and what smoothing takes from them."""
+    seen = F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("p"))), F.lit(0.0))
+    return model.continuations(context).agg(seen.alias("seen"), (1 - seen).alias("cost"))
 
 
 def dot(a: str, b: str) -> F.Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import counts
+from quillspark.runtime import materialize, small_side
 
 
 class SearchEngine:
@@ -14,10 +15,11 @@ class SearchEngine:
     def __init__(self, tokens: DataFrame, min_df: int = 1, max_df: float = 1.0) -> None:
         self.documents = tokens.select("doc_id")
         self.n = tokens.count()
-        self.index = counts.postings(tokens)  # of all terms, also those the vocabulary leaves out
-        self.vocab = counts.vocabulary(self.index, self.n, min_df, max_df)
-        self.weights = counts.weights(self.index, self.vocab, self.n)
-        self.norms = self.weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        # Written once: texts are not tokenized again for each question.
+        self.index = materialize(counts.postings(tokens))  # of all terms, also those the vocabulary leaves out
+        self.vocab = materialize(counts.vocabulary(self.index, self.n, min_df, max_df))
+        weights = counts.weights(self.index, self.vocab, self.n)
+        self.weights = materialize(weights.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))))
 
     def query_weights(self, queries: DataFrame) -> DataFrame:
         own = counts.postings(queries.withColumnRenamed("query_id", "doc_id"))
@@ -26,7 +28,7 @@ class SearchEngine:
 
     def contributions(self, queries: DataFrame) -> DataFrame:
         """(query_id, doc_id, term, part): what each shared term adds to a score."""
-        x = self.weights.join(self.query_weights(queries), "term").join(self.norms, "doc_id")
+        x = self.weights.join(small_side(materialize(self.query_weights(queries)), 200_000), "term")
         return x.select("query_id", "doc_id", "term", (F.col("w") * F.col("qw") / (F.col("norm") * F.col("qnorm"))).alias("part"))
 
     def scores(self, queries: DataFrame) -> DataFrame:
@@ -39,9 +41,16 @@ class SearchEngine:
         return best(self.scores(queries).where("score > 0"), k)
 
     def rank_documents(self, queries: DataFrame, k: int | None = None) -> DataFrame:
-        """All documents with zero scores, or the k best of them."""
-        every = self.documents.crossJoin(F.broadcast(queries.select("query_id"))).join(self.scores(queries), ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        return best(every, k)
+        """The k best, with documents of score 0 (smallest ids first) where fewer score; all documents without k."""
+        scored = self.scores(queries).where("score > 0")
+        if k is None:
+            every = self.documents.crossJoin(small_side(materialize(queries.select("query_id")), 20_000)).join(scored, ["query_id", "doc_id"], "left")
+            return best(every.withColumn("score", F.coalesce("score", F.lit(0.0))), None)
+        found = best(scored, k).drop("rank")
+        has = queries.select("query_id").join(found.groupBy("query_id").agg(F.collect_set("doc_id").alias("has")), "query_id", "left").where("has is null or size(has) < %d" % k)  # fewer than k
+        first = self.documents.orderBy("doc_id").limit(2 * k)  # k of these are not among the fewer than k
+        zeros = has.crossJoin(F.broadcast(first)).where("has is null or not array_contains(has, doc_id)").select("query_id", "doc_id", F.lit(0.0).alias("score"))
+        return best(found.unionByName(zeros), k)
 
     def candidates(self, queries: DataFrame) -> DataFrame:
         terms = queries.select("query_id", F.explode("tokens").alias("term")).distinct()

@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import analyzers as A
 from quillspark.operators import counts as C
 from quillspark.operators import embeddings as E
+from quillspark.operators import hybrid as H
 from quillspark.operators import models as M
 from quillspark.operators import search as S
 from quillspark.operators import subwords as B
 from quillspark.runtime import materialize, read_table, small_side
+from quillspark.sources import text as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,7 +89,7 @@ _lists("normalize_tokens_native", lambda t: T.normalize(t, native=True), _TOK)
 _lists("normalize_full", lambda t: T.normalize_full(t, native=True), f"list_filter({_TOK}, lambda t: NOT list_contains({_STOP}, t))")
 _lists("strip_punctuation", lambda t: T.strip_punctuation(T.tokenize_words(t)), rf"list_filter({_RAW}, lambda t: regexp_matches(t, '[\p{{L}}\p{{N}}]'))")
 _lists("remove_stopwords", lambda t: T.remove_stopwords(T.normalize(t, native=True)), f"list_filter({_TOK}, lambda t: NOT list_contains({_STOP}, t))")
-_lists("bigram_features", lambda t: T.with_bigrams(T.normalize(t, native=True)), f"list_concat({_TOK}, list_transform(range(1, len({_TOK})), lambda i: {_TOK}[i] || '_' || {_TOK}[i + 1]))" if False else f"(SELECT list_concat(x, list_transform(range(1, greatest(len(x), 1)), lambda i: x[i] || '_' || x[i + 1])) FROM (SELECT {_TOK} AS x))")
+_lists("bigram_features", lambda t: T.with_bigrams(T.normalize(t, native=True)), f"(SELECT list_concat(x, list_transform(range(1, greatest(len(x), 1)), lambda i: x[i] || '_' || x[i + 1])) FROM (SELECT {_TOK} AS x))")
 
 
 @query(f"SELECT doc_id, trim(regexp_replace(text, '[{_SP}]+', ' ', 'g')) AS text FROM documents")
@@ -190,7 +193,7 @@ def padded_bigrams(s, d):
 
 @query("SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(text, i, 3))) AS gram FROM documents WHERE length(text) >= 3) GROUP BY gram")
 def char_trigrams(s, d):
-    x = read_table(s, d, "documents").select(F.explode(T.char_ngrams(F.col("text"), 3)).alias("gram"))
+    x = read_table(s, d, "documents").select(F.explode(T.char_ngrams(F.col("text"), 3, native=True)).alias("gram"))
     return C.frequencies(x, "gram")
 
 
@@ -261,6 +264,12 @@ def tfidf_top_terms(s, d):
     return w.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("w"), "term"))).where("r <= 5").drop("r")
 
 
+@query(f"WITH {WEIGHT}, few AS (SELECT doc_id, list(term) AS has FROM w0 GROUP BY doc_id HAVING count(*) < 5), fill AS (SELECT term FROM voc ORDER BY term LIMIT 10), x AS (SELECT doc_id, term, round(w, 6) AS w FROM w0 UNION ALL SELECT doc_id, term, 0.0 AS w FROM few JOIN fill ON NOT list_contains(has, term)) SELECT doc_id, term, w, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS rank FROM x) WHERE rank <= 5")
+def top_terms(s, d):
+    e = engine(s, d)
+    return C.top_terms(e.weights.select("doc_id", "term", "w"), e.vocab, 5)
+
+
 @query(f"WITH {WEIGHT} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0) WHERE rank <= 10")
 def search(s, d):
     return engine(s, d).search(questions(s, d), 10)
@@ -286,19 +295,9 @@ def boolean_and(s, d):
     return engine(s, d).boolean_and(questions(s, d))
 
 
-@query(f"WITH {WEIGHT} SELECT query_id, doc_id, term, round(part, 6) AS part FROM part WHERE part > 0 AND query_id < 10")
-def explain_score(s, d):
-    """A sample of explain_score_all, as its SQL has it."""
-    return _explained(s, d, questions(s, d).where("query_id < 10"))
-
-
 @query(f"WITH {WEIGHT} SELECT query_id, doc_id, term, round(part, 6) AS part FROM part WHERE part > 0")
-def explain_score_all(s, d):
-    return _explained(s, d, questions(s, d))
-
-
-def _explained(s, d, asked: DataFrame) -> DataFrame:
-    return engine(s, d).contributions(asked).where("part > 0").select("query_id", "doc_id", "term", F.round("part", 6).alias("part"))
+def explain_score(s, d):
+    return engine(s, d).contributions(questions(s, d)).where("part > 0").select("query_id", "doc_id", "term", F.round("part", 6).alias("part"))
 
 
 @query(f"WITH {QTOK}, b AS (SELECT query_id, term, count(*) AS c FROM qlng GROUP BY query_id, term), n AS (SELECT query_id, sqrt(sum(c * c)) AS n FROM b GROUP BY query_id), x AS (SELECT a.query_id AS a, b2.query_id AS b, sum(a.c * b2.c) AS dot FROM b a JOIN b b2 ON a.term = b2.term AND a.query_id < b2.query_id GROUP BY 1, 2) SELECT a, b, round(dot / (na.n * nb.n), 6) AS cosine FROM x JOIN n na ON a = na.query_id JOIN n nb ON b = nb.query_id")
@@ -325,30 +324,16 @@ def _distances(pairs: DataFrame) -> DataFrame:
 
 
 _COS = "list_sum(list_transform(range(1, len(a) + 1), lambda i: CAST(a[i] AS DOUBLE) * b[i]))"
-_VEC = "p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, q.embedding AS a, c.embedding AS b FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id < 5), d AS (SELECT query_id, vec_id, round(" + _COS + " / (sqrt(" + _COS.replace("b[i]", "a[i]") + ") * sqrt(" + _COS.replace("a[i]", "b[i]").replace("len(a)", "len(b)") + ")), 6) AS score, round(sqrt(list_sum(list_transform(range(1, len(a) + 1), lambda i: (CAST(a[i] AS DOUBLE) - b[i]) * (CAST(a[i] AS DOUBLE) - b[i])))), 6) AS distance FROM p)"
+_VEC = "p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, q.embedding AS a, c.embedding AS b FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0), d AS (SELECT query_id, vec_id, round(" + _COS + " / (sqrt(" + _COS.replace("b[i]", "a[i]") + ") * sqrt(" + _COS.replace("a[i]", "b[i]").replace("len(a)", "len(b)") + ")), 6) AS score, round(sqrt(list_sum(list_transform(range(1, len(a) + 1), lambda i: (CAST(a[i] AS DOUBLE) - b[i]) * (CAST(a[i] AS DOUBLE) - b[i])))), 6) AS distance FROM p)"
 
 
 @query(f"WITH {_VEC} SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d) WHERE rank <= 10")
 def knn_embeddings(s, d):
-    """A sample of knn_embeddings_by_100, as its SQL has it; so is euclidean of euclidean_by_100."""
-    return _nearest(_vector_pairs(s, d, "vec_id < 5"))
+    return _nearest(_vector_pairs(s, d, "vec_id % 100 = 0"))
 
 
 @query(f"WITH {_VEC} SELECT query_id, vec_id, distance FROM d")
 def euclidean(s, d):
-    return _distances(_vector_pairs(s, d, "vec_id < 5"))
-
-
-_VEC_BY_100 = _VEC.replace("q.vec_id < 5", "q.vec_id % 100 = 0")
-
-
-@query(f"WITH {_VEC_BY_100} SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d) WHERE rank <= 10")
-def knn_embeddings_by_100(s, d):
-    return _nearest(_vector_pairs(s, d, "vec_id % 100 = 0"))
-
-
-@query(f"WITH {_VEC_BY_100} SELECT query_id, vec_id, distance FROM d")
-def euclidean_by_100(s, d):
     return _distances(_vector_pairs(s, d, "vec_id % 100 = 0"))
 
 
@@ -429,7 +414,7 @@ def lm_log_probability(s, d):
 
 @query(f"WITH {_LM} SELECT round(exp(-sum(ln(p)) / count(*)), 4) AS perplexity FROM p")
 def lm_perplexity(s, d):
-    return model(s, d).log_probability(tokens(s, d)).agg(F.round(F.exp(-F.sum("logp") / F.sum("tokens")), 4).alias("perplexity"))
+    return M.perplexity(model(s, d), tokens(s, d)).select(F.round("perplexity", 4).alias("perplexity"))
 
 
 @query(f"WITH {_PAD}, voc2 AS (SELECT DISTINCT token FROM pl WHERE token <> '<s>') SELECT token, round((coalesce(n, 0) + 0.1) / ((SELECT ctx_n FROM cx WHERE ctx = 'the') + 0.1 * v), 9) AS p FROM voc2 CROSS JOIN v LEFT JOIN (SELECT token, n FROM ng WHERE ctx = 'the') USING (token)")
@@ -439,8 +424,7 @@ def lm_continuations(s, d):
 
 @query(f"WITH {_PAD} SELECT round(sum(n + 0.1) / (max(ctx_n) + 0.1 * max(v)), 6) AS seen, round(1 - sum(n + 0.1) / (max(ctx_n) + 0.1 * max(v)), 6) AS cost FROM ng JOIN cx USING (ctx) CROSS JOIN v WHERE ctx = 'the'")
 def lm_smoothing_cost(s, d):
-    seen = F.sum(F.when(F.col("n") > 0, F.col("p")))
-    return model(s, d).continuations(["the"]).agg(F.round(seen, 6).alias("seen"), F.round(1 - seen, 6).alias("cost"))
+    return M.smoothing_cost(model(s, d), ["the"]).select(F.round("seen", 6).alias("seen"), F.round("cost", 6).alias("cost"))
 
 
 @query(f"WITH {FREQ} SELECT doc_id, array_to_string(list(CASE WHEN n >= 2 THEN term ELSE '<unk>' END ORDER BY pos), ' ') AS tokens FROM lng JOIN freq USING (term) GROUP BY doc_id UNION ALL SELECT doc_id, '' AS tokens FROM tok WHERE len(tokens) = 0")
@@ -450,19 +434,13 @@ def replace_rare(s, d):
 
 @query("WITH n AS (SELECT count(*) AS n FROM documents), i AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, doc_id FROM documents), t AS (SELECT CAST(floor(k * CAST(n AS DOUBLE) / 20) AS BIGINT) AS i FROM (SELECT unnest(range(0, 20)) AS k) CROSS JOIN n) SELECT doc_id, i.i IN (SELECT i FROM t) AS is_test FROM i")
 def holdout_split(s, d):
-    docs = read_table(s, d, "documents").select("doc_id")
-    n = docs.count()
-    picks = s.range(0, 20).select(F.floor(F.col("id") * n / 20).cast("int").alias("i")).distinct()
-    x = docs.withColumn("i", F.row_number().over(Window.orderBy("doc_id")) - 1)
-    return x.join(F.broadcast(picks.withColumn("is_test", F.lit(True))), "i", "left").select("doc_id", F.coalesce("is_test", F.lit(False)).alias("is_test"))
+    return sources.hold_out(read_table(s, d, "documents").select("doc_id"), 20)
 
 
 @query(f"WITH {_PAD}, dist AS (SELECT token, n / sum(n) OVER () AS p FROM ng WHERE ctx = 'the'), k AS (SELECT token, p FROM dist ORDER BY round(p, 12) DESC, token LIMIT 10), r AS (SELECT token, p / sum(p) OVER () AS p FROM k) SELECT token, round(pow(p, 2) / sum(pow(p, 2)) OVER (), 6) AS p FROM r")
 def temperature_topk(s, d):
-    x = M.NgramModel(tokens(s, d), 2, 0.0).continuations(["the"]).where("n > 0").orderBy(F.desc(F.round("p", 12)), "token").limit(10)
-    w = Window.partitionBy()
-    x = x.withColumn("p", F.pow(F.col("p") / F.sum("p").over(w), 1 / 0.5))
-    return x.select("token", F.round(F.col("p") / F.sum("p").over(w), 6).alias("p"))
+    x = M.NgramModel(tokens(s, d), 2, 0.0).continuations(["the"]).where("n > 0").select("token", "p")
+    return M.apply_temperature(M.top_k_filter(x, 10), 0.5).select("token", F.round("p", 6).alias("p"))
 
 
 @query(f"WITH {FREQ}, sy AS (SELECT term, n, list_concat(string_split(term, ''), ['</w>']) AS y FROM freq), pr AS (SELECT n, unnest(list_transform(range(1, len(y)), lambda i: y[i])) AS l, unnest(list_transform(range(1, len(y)), lambda i: y[i + 1])) AS r FROM sy) SELECT l, r, CAST(sum(n) AS BIGINT) AS n FROM pr GROUP BY l, r")
@@ -511,16 +489,21 @@ def ppmi(s, d):
 
 @query(f"WITH {_PPMI} SELECT ctx, ppmi FROM pp WHERE term = 'the' AND ctx <> 'the' ORDER BY ppmi DESC, ctx LIMIT 10")
 def top_associations(s, d):
-    return M.ppmi(M.cooccurrence(tokens(s, d))).where("term = 'the' and ctx <> 'the'").select("ctx", F.round("ppmi", 6).alias("ppmi")).orderBy(F.desc("ppmi"), "ctx").limit(10)
+    return M.top_associations(materialize(M.ppmi(M.cooccurrence(tokens(s, d)))), "the", 10)
 
 
-_BOTH = f"""{WEIGHT}, every AS (SELECT query_id, doc_id, coalesce(score, 0.0) AS lexical, CAST(length(text) AS DOUBLE) AS other FROM q CROSS JOIN documents LEFT JOIN score USING (query_id, doc_id))"""
+#: The second signal that SQL can give: the cosine of the stored vectors that carry the ids of the query and the document.
+_BOTH = f"""{WEIGHT}, sem AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a CROSS JOIN embeddings b),
+every AS (SELECT query_id, doc_id, coalesce(score.score, 0.0) AS lexical, coalesce(sem.score, 0.0) AS other FROM q CROSS JOIN documents LEFT JOIN score USING (query_id, doc_id) LEFT JOIN sem USING (query_id, doc_id))"""
 
 
 def both_signals(s, d) -> DataFrame:
-    """Lexical scores, and text length as a second signal that SQL can give."""
-    x = engine(s, d).rank_documents(questions(s, d)).withColumnRenamed("score", "lexical").drop("rank")
-    return x.join(read_table(s, d, "documents").select("doc_id", F.length("text").cast("double").alias("other")), "doc_id")
+    v = read_table(s, d, "embeddings")
+    q = questions(s, d)
+    asked = small_side(materialize(v.join(q, v["vec_id"] == q["query_id"]).select("query_id", F.col("embedding").alias("q"))), 20_000)
+    semantic = v.crossJoin(asked).select("query_id", F.col("vec_id").alias("doc_id"), F.round(M.cosine("embedding", "q"), 6).alias("score"))
+    e = engine(s, d)
+    return H.both(e.documents, q, e.scores(q), semantic)
 
 
 _MM = "CASE WHEN max({c}) OVER (PARTITION BY query_id) > min({c}) OVER (PARTITION BY query_id) THEN ({c} - min({c}) OVER (PARTITION BY query_id)) / (max({c}) OVER (PARTITION BY query_id) - min({c}) OVER (PARTITION BY query_id)) ELSE 0.0 END"
@@ -528,15 +511,21 @@ _MM = "CASE WHEN max({c}) OVER (PARTITION BY query_id) > min({c}) OVER (PARTITIO
 
 @query(f"WITH {_BOTH}, m AS (SELECT query_id, doc_id, round(0.5 * ({_MM.format(c='lexical')}) + 0.5 * ({_MM.format(c='other')}), 6) AS score FROM every) SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM m) WHERE rank <= 5")
 def minmax_fusion(s, d):
-    x = S.min_max(S.min_max(both_signals(s, d), "lexical"), "other")
-    return S.best(x.select("query_id", "doc_id", F.round(0.5 * F.col("lexical") + 0.5 * F.col("other"), 6).alias("score")), 5)
+    return H.fused(both_signals(s, d), 0.5, 5)
 
 
 @query(f"WITH {_BOTH}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, doc_id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY other DESC, doc_id) AS b FROM every), f AS (SELECT query_id, doc_id, round(1.0 / (60 + a) + 1.0 / (60 + b), 6) AS score FROM r) SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 5")
 def rrf_fusion(s, d):
+    return H.fused(both_signals(s, d), 0.5, 5, "rrf")
+
+
+@query(f"WITH {_BOTH}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, doc_id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY other DESC, doc_id) AS b FROM every) SELECT query_id, doc_id, round(1.0 / (60 + a) + 1.0 / (60 + b), 6) AS score FROM r WHERE a <= 10 AND b <= 1000")
+def rrf_of_rankings(s, d):
+    """The fusion of two rankings as tables, for documents that both have."""
     x = both_signals(s, d)
-    ranks = [S.best(x.select("query_id", "doc_id", F.col(c).alias("score")), None) for c in ("lexical", "other")]
-    return S.best(S.reciprocal_rank_fusion(ranks), 5)
+    ranks = [S.best(x.select("query_id", "doc_id", F.col(c).alias("score")), k) for c, k in (("lexical", 10), ("semantic", 1000))]
+    shared = ranks[0].join(ranks[1], ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id")
+    return S.reciprocal_rank_fusion(ranks).join(shared, ["query_id", "doc_id"])
 
 
 @query(f"WITH {WEIGHT}, top3 AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0) WHERE rank <= 3), rel AS (SELECT item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON strpos(d.text, b.text) > 0), h AS (SELECT r.query_id, max(CASE WHEN t.doc_id IS NULL THEN 0.0 ELSE 1.0 END) AS hit FROM rel r LEFT JOIN top3 t ON r.query_id = t.query_id AND r.doc_id = t.doc_id GROUP BY r.query_id) SELECT round(avg(hit), 6) AS hit_rate FROM h")
@@ -550,8 +539,7 @@ def hit_rate_at_k(s, d):
 
 
 def _word_vectors(s, d) -> DataFrame:
-    q = questions(s, d).select(F.col("query_id").alias("doc_id"), "tokens")
-    return E.svd_embeddings(M.ppmi(M.cooccurrence(q)), k=24)
+    return E.load_vectors(tokens(s, d), k=24, min_count=5)
 
 
 @query()
@@ -561,22 +549,119 @@ def svd_embeddings(s, d):
 
 @query()
 def hybrid_search(s, d):
-    t, q = tokens(s, d), questions(s, d)
-    e = S.SearchEngine(t)
-    words = _word_vectors(s, d)
-    idf = e.vocab.select("term", C.idf("smooth", F.col("df"), F.lit(e.n)).alias("idf"))
-    docs = E.embed_documents(t, words, idf)
-    asked = E.embed_documents(q.withColumnRenamed("query_id", "doc_id"), words, idf).select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qv"))
-    semantic = docs.crossJoin(F.broadcast(asked)).select("query_id", "doc_id", M.dot("vec", "qv").alias("semantic"))
-    x = e.rank_documents(q).select("query_id", "doc_id", F.col("score").alias("lexical")).join(semantic, ["query_id", "doc_id"], "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
-    x = S.min_max(S.min_max(x, "lexical"), "semantic")
-    return S.best(x.select("query_id", "doc_id", F.round(0.5 * F.col("lexical") + 0.5 * F.col("semantic"), 6).alias("score")), 5)
+    return H.HybridSearcher(tokens(s, d), min_count=5).search(questions(s, d), 0.5, 5)
+
+
+@query()
+def hybrid_rrf(s, d):
+    return H.HybridSearcher(tokens(s, d), min_count=5).search(questions(s, d), 0.5, 5, "rrf")
 
 
 @query()
 def generate(s, d):
-    q = questions(s, d).select(F.col("query_id").alias("doc_id"), "tokens")
-    return B.generate(M.NgramModel(q, 2, 0.0), s.range(0, 20).withColumnRenamed("id", "seed"), temperature=0.8, top_k=20)
+    return B.generate(M.NgramModel(tokens(s, d), 2, 0.0), s.range(0, 20).withColumnRenamed("id", "seed"), temperature=0.8, top_k=20)
+
+
+@query(f"WITH {_PAD}, dist AS (SELECT ctx, token, n, row_number() OVER (PARTITION BY ctx ORDER BY n DESC, token) AS r FROM ng), " + ", ".join([f"s{i} AS (SELECT text, token FROM (SELECT trim(p.text || ' ' || p.token) AS text, d.token FROM s{i - 1} p JOIN dist d ON d.ctx = p.token AND d.r = 1 WHERE p.token <> '</s>') UNION ALL SELECT text, token FROM s{i - 1} WHERE token = '</s>')" if i else "s0 AS (SELECT '' AS text, token FROM dist WHERE ctx = '<s>' AND r = 1)" for i in range(8)]) + " SELECT CAST(0 AS BIGINT) AS seed, trim(CASE WHEN token = '</s>' THEN text ELSE text || ' ' || token END) AS text FROM s7")
+def generate_greedy(s, d):
+    return B.generate(M.NgramModel(tokens(s, d), 2, 0.0), s.range(0, 1).withColumnRenamed("id", "seed"), max_tokens=8, greedy=True)
+
+
+_CHARS = f"""chars AS (SELECT doc_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '[{_SP}]+', '', 'g') AS t FROM documents), cterm AS (SELECT doc_id, unnest(list_transform(range(1, greatest(length(t), 1)), lambda i: substr(t, i, 2))) AS term FROM chars),
+cpost AS (SELECT doc_id, term, count(*) AS tf FROM cterm GROUP BY doc_id, term)"""
+
+
+@query(f"WITH {_CHARS} SELECT doc_id, term, tf FROM cpost")
+def char_analyzer(s, d):
+    return C.postings(A.Analyzer("char", native=True).terms(read_table(s, d, "documents")))
+
+
+_ENGINE = f"""{_CHARS}, cv AS (SELECT term, count(*) AS df FROM cpost GROUP BY term), cn AS (SELECT count(*) AS docs FROM documents),
+cw AS (SELECT doc_id, term, tf / sum(tf) OVER (PARTITION BY doc_id) * (ln((1.0 + docs) / (1.0 + df)) + 1) AS w FROM cpost JOIN cv USING (term) CROSS JOIN cn), cnorm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM cw GROUP BY doc_id),
+qc AS (SELECT item_id AS query_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '[{_SP}]+', '', 'g') AS t FROM benchmark), qt AS (SELECT query_id, unnest(list_transform(range(1, greatest(length(t), 1)), lambda i: substr(t, i, 2))) AS term FROM qc),
+qtf AS (SELECT query_id, term, count(*) AS tf FROM qt JOIN cv USING (term) GROUP BY query_id, term), qw AS (SELECT query_id, term, tf / sum(tf) OVER (PARTITION BY query_id) * (ln((1.0 + docs) / (1.0 + df)) + 1) AS qw FROM qtf JOIN cv USING (term) CROSS JOIN cn),
+qnorm AS (SELECT query_id, sqrt(sum(qw * qw)) AS qnorm FROM qw GROUP BY query_id), csc AS (SELECT query_id, doc_id, round(sum(w * qw) / (max(norm) * max(qnorm)), 6) AS score FROM cw JOIN qw USING (term) JOIN cnorm USING (doc_id) JOIN qnorm USING (query_id) GROUP BY query_id, doc_id),
+cbest AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM csc WHERE score > 0)"""
+
+
+def char_engine(s, d) -> tuple[A.Engine, DataFrame]:
+    asked = read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return A.Engine(read_table(s, d, "documents").select("doc_id", "text"), A.Analyzer("char", native=True)), asked
+
+
+@query(f"WITH {_ENGINE} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM cbest WHERE rank <= 3")
+def engine_search(s, d):
+    e, asked = char_engine(s, d)
+    return e.search(asked, 3)
+
+
+@query(f"WITH {_ENGINE} SELECT query_id, doc_id, (SELECT string_agg(term, ' ' ORDER BY term) FROM (SELECT DISTINCT term FROM qt WHERE qt.query_id = cbest.query_id INTERSECT SELECT term FROM cpost WHERE cpost.doc_id = cbest.doc_id)) AS terms FROM cbest WHERE rank <= 1")
+def shared_terms(s, d):
+    e, asked = char_engine(s, d)
+    return e.shared_terms(asked, e.search(asked, 1)).select("query_id", "doc_id", F.array_join("terms", " ").alias("terms"))
+
+
+@query(f"WITH {_ENGINE}, rel AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON strpos(d.text, b.text) > 0), h AS (SELECT r.query_id, max(CASE WHEN t.doc_id IS NULL THEN 0.0 ELSE 1.0 END) AS hit FROM rel r LEFT JOIN (SELECT query_id, doc_id FROM cbest WHERE rank <= 3) t ON r.query_id = t.query_id AND r.doc_id = t.doc_id GROUP BY r.query_id) SELECT round(coalesce(avg(hit), 0), 6) AS hit_rate FROM h")
+def engine_hit_rate(s, d):
+    e, asked = char_engine(s, d)
+    rel = read_table(s, d, "documents").select("doc_id", F.col("text").alias("whole")).join(F.broadcast(asked), F.contains("whole", "text"))
+    cases = rel.groupBy("query_id").agg(F.collect_set("doc_id").alias("relevant"))
+    return A.hit_rate(e.search(asked, 3), cases).select(F.round("hit_rate", 6).alias("hit_rate"))
+
+
+@query(f"WITH {POST}, {QTOK} SELECT DISTINCT term FROM qlng EXCEPT SELECT term FROM voc")
+def vocabulary_difference(s, d):
+    words = lambda t: t.select(F.explode("tokens").alias("term"))
+    return C.vocabulary_difference(words(questions(s, d)), words(tokens(s, d)))
+
+
+@query("SELECT vec_id, array_to_string(list_transform(list_filter(range(0, len(embedding)), lambda i: floor(8 * CAST(embedding[i + 1] AS DOUBLE)) <> 0), lambda i: i || ':' || CAST(floor(8 * CAST(embedding[i + 1] AS DOUBLE)) AS BIGINT)), ' ') AS cells FROM embeddings")
+def to_sparse(s, d):
+    whole = F.transform("embedding", lambda x: F.floor(8 * x.cast("double")))
+    cells = F.transform(F.map_entries(C.to_sparse(whole)), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    return read_table(s, d, "embeddings").select("vec_id", F.array_join(cells, " ").alias("cells"))
+
+
+@query(f"WITH {_CO2} SELECT round(1 - CAST(count(*) AS DOUBLE) / ((SELECT count(*) FROM (SELECT DISTINCT term FROM co)) * CAST((SELECT count(*) FROM (SELECT DISTINCT term FROM co)) AS DOUBLE)), 9) AS sparsity FROM co")
+def cooccurrence_sparsity(s, d):
+    return M.table_sparsity(materialize(M.cooccurrence(tokens(s, d)))).select(F.round("sparsity", 9).alias("sparsity"))
+
+
+@query(f"WITH {_PPMI.replace('greatest(', '(').replace(', 0), 6) AS ppmi', '), 6) AS pmi')} SELECT term, ctx, pmi FROM pp")
+def pmi(s, d):
+    return M.pmi(M.cooccurrence(tokens(s, d)), positive=False).select("term", "ctx", F.round("pmi", 6).alias("pmi"))
+
+
+_UNIT = "unit AS (SELECT vec_id, CAST(vec_id AS VARCHAR) AS term, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS u FROM embeddings)"
+_DOT = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i]))"
+
+
+def unit_vectors(s, d) -> DataFrame:
+    return E.unit(read_table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("term"), F.col("embedding").cast("array<double>").alias("vec")))
+
+
+@query(f"WITH {_UNIT} SELECT b.term, round({_DOT.format(a='a.u', b='b.u')}, 6) AS score FROM unit a JOIN unit b ON b.vec_id > 2 WHERE a.vec_id = 2 ORDER BY score DESC, term LIMIT 1")
+def nearest_to_input(s, d):
+    return E.WordVectors(unit_vectors(s, d)).nearest_to_input("0", "1", "2").select("term", "score")
+
+
+@query(f"""WITH {_UNIT}, cases AS (SELECT a.vec_id AS i, a.u AS a, b.u AS b, c.u AS c, e.term AS expected FROM unit a JOIN unit b ON b.vec_id = a.vec_id + 1 JOIN unit c ON c.vec_id = a.vec_id + 2 JOIN unit e ON e.vec_id = a.vec_id + 3 WHERE a.vec_id % 100 = 0),
+asked AS (SELECT i, 'x' AS ask, list_transform(range(1, len(a) + 1), lambda j: b[j] - a[j] + c[j]) AS t FROM cases UNION ALL SELECT i, 'b', b FROM cases UNION ALL SELECT i, 'c', c FROM cases),
+sc AS (SELECT i, ask, term, round({_DOT.format(a='u', b='t')} / sqrt({_DOT.format(a='t', b='t')}), 6) AS score FROM asked JOIN unit ON vec_id NOT BETWEEN i AND i + 2),
+f AS (SELECT i, ask, term FROM (SELECT *, row_number() OVER (PARTITION BY i, ask ORDER BY score DESC, term) AS r FROM sc) WHERE r = 1), g AS (SELECT i, max(CASE WHEN ask = 'x' THEN term END) AS x, max(CASE WHEN ask = 'b' THEN term END) AS b, max(CASE WHEN ask = 'c' THEN term END) AS c FROM f GROUP BY i)
+SELECT count(*) AS cases, avg(CAST(x = expected AS INTEGER)) AS arithmetic, avg(CAST(g.b = expected AS INTEGER)) AS nearest_b, avg(CAST(g.c = expected AS INTEGER)) AS nearest_c, round(avg(CAST(x = g.b OR x = g.c AS INTEGER)), 6) AS agrees FROM cases JOIN g USING (i)""")
+def evaluate_analogies(s, d):
+    v = read_table(s, d, "embeddings").select("vec_id")
+    name = lambda k: (F.col("vec_id") + k).cast("string")
+    cases = v.where("vec_id % 100 = 0").select(name(0).alias("a"), name(1).alias("b"), name(2).alias("c"), name(3).alias("expected"))
+    return E.evaluate_analogies(materialize(unit_vectors(s, d)), cases).withColumn("agrees", F.round("agrees", 6))
+
+
+@query(f"WITH {POST}, v AS (SELECT term FROM voc WHERE df >= 2) SELECT term, round(ln((1.0 + docs) / (1.0 + df)) + 1, 6) AS idf FROM v JOIN voc USING (term) CROSS JOIN size")
+def idf_of_vocabulary(s, d):
+    t = tokens(s, d)
+    index = materialize(C.postings(t))
+    return C.checked_idf("smooth", index, C.vocabulary(index, t.count(), 2), t.count()).select("term", F.round("idf", 6).alias("idf"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

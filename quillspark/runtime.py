@@ -6,7 +6,8 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -52,3 +53,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_side(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
     """`df`, materialized, with a broadcast hint if it is counted to have at most `most_rows` narrow rows; else left to a shuffle join."""
     return df.hint("broadcast") if df.count() <= most_rows else df
+
+
+def placed(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """`df` with each row's place from 0 in a total order. Rows are dealt out by ranges, so no task sees all of them; the driver
+    gets a count a partition."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialize(rows.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    first, at = [], 0
+    for part, size in sorted((r[0], r[1]) for r in rows.groupBy("_part").count().collect()):
+        first += [F.lit(part), F.lit(at).cast("long")]
+        at += size
+    place = F.create_map(*first)[F.col("_part")] + F.col("_row") if first else F.lit(0).cast("long")
+    return rows.withColumn(name, place).drop("_part", "_row")
