@@ -9,6 +9,7 @@ from quillspark.functions import text as T
 from quillspark.operators import counts, search, subwords
 
 KINDS = ("word", "subword", "char")
+NAMES = ("word", "subword(+</w>)", "subword", "char2")
 
 
 class Analyzer:
@@ -33,14 +34,15 @@ class Analyzer:
         return self.tokenizer.encode(words) if self.kind == "subword" else words
 
 
-def build_analyzers(corpus: DataFrame, merges: int = 200, native: bool = False) -> dict[str, Analyzer]:
-    """The registry that comparisons run over; both subword ones learn from the same corpus."""
-    return {
-        "word": Analyzer("word", native=native),
-        "subword(+</w>)": Analyzer("subword", corpus, merges, True, native=native),
-        "subword": Analyzer("subword", corpus, merges, False, native=native),
-        "char2": Analyzer("char", n=2, native=native),
+def build_analyzers(corpus: DataFrame, merges: int = 200, native: bool = False, only: list[str] | None = None) -> dict[str, Analyzer]:
+    """The registry that comparisons run over (or those of its names in `only`); both subword ones learn from the same corpus."""
+    made = {
+        "word": lambda: Analyzer("word", native=native),
+        "subword(+</w>)": lambda: Analyzer("subword", corpus, merges, True, native=native),
+        "subword": lambda: Analyzer("subword", corpus, merges, False, native=native),
+        "char2": lambda: Analyzer("char", n=2, native=native),
     }
+    return {name: made[name]() for name in NAMES if only is None or name in only}
 
 
 class Engine:

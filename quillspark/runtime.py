@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +26,10 @@ def materialize(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="quillspark-checkpoint-")
         sc.setCheckpointDir(folder)
     done = df.checkpoint(eager=True)
-    sc._jvm.System.gc()  # shuffle files of plans that were cut before are removed only after the driver's collector ran
+    # Shuffle files of plans that were cut before are removed only after the driver's collector ran, so it runs now and then.
+    if time.monotonic() - getattr(sc, "_quillspark_collected", 0.0) > 4:
+        sc._jvm.System.gc()
+        sc._quillspark_collected = time.monotonic()
     return done
 
 
