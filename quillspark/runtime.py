@@ -27,7 +27,7 @@ def materialize(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(folder)
     done = df.checkpoint(eager=True)
     # Shuffle files of plans that were cut before are removed only after the driver's collector ran, so it runs now and then.
-    if time.monotonic() - getattr(sc, "_quillspark_collected", 0.0) > 4:
+    if time.monotonic() - getattr(sc, "_quillspark_collected", 0.0) > 1:
         sc._jvm.System.gc()
         sc._quillspark_collected = time.monotonic()
     return done

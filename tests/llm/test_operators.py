@@ -196,6 +196,19 @@ def test_near_lines_at_defaults(spark):
     assert {r.doc_id for r in got if r.n_lines_removed} == {i for i in range(len(kept)) if find(i) != i}
 
 
+def test_similar_is_the_edit_similarity():
+    rng, words = random.Random(12), vocabulary(60)
+    for _ in range(400):
+        x = passage(rng, words, rng.randint(1, 25)).split()
+        y = list(x)
+        for _ in range(rng.randint(0, 6)):
+            k = rng.randrange(len(y) + 1)
+            y[k : k + rng.randint(0, 1)] = [rng.choice(words)] * rng.randint(0, 1)
+        a, b = " ".join(x), " ".join(y)
+        told, want = lines.similar(a, b, 0.8), lines.edit_distance(a, b) <= lines.allowance(len(a), len(b), 0.8)
+        assert told is None or told == want
+
+
 def test_edit_distance():
     def plain(a, b):
         p = list(range(len(b) + 1))
