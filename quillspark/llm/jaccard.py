@@ -36,7 +36,7 @@ FRAGMENTS = 8
 #: Words of a run in which frequent shingles are counted before they are summed over all runs.
 RUN = 4_000_000
 #: A bucket with more members is cut by second shingles before pairs of its components are made.
-HOT = 64
+HOT = 4096
 #: At most so many frequent shingles are moved to the end of the order (they are broadcast: 16 bytes each).
 #: The bound only changes how well candidates are filtered, never which links are found.
 MOST_FREQUENT = 1 << 18
