@@ -26,13 +26,21 @@ def materialize(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="quillspark-checkpoint-")
         sc.setCheckpointDir(folder)
     done = df.checkpoint(eager=True)
-    # Shuffle files of plans that were cut before are removed only after the driver's collector ran, so it runs now and then.
     if time.monotonic() - getattr(sc, "_quillspark_collected", 0.0) > 1:
-        sc._jvm.System.gc()
-        sc._quillspark_collected = time.monotonic()
+        free(df.sparkSession)
     return done
 
 
+def free(spark: SparkSession) -> None:
+    """Let go of the files of plans nothing refers to any more: they are removed only after the driver's collector ran.
+
+    Worth calling before a large step, once the tables that went before are deleted.
+    """
+    sc = spark.sparkContext
+    sc._jvm.System.gc()
+    sc._quillspark_collected = time.monotonic()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a context, so that they import it by name."""
     sc = spark.sparkContext
