@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import time
@@ -36,6 +37,7 @@ def free(spark: SparkSession) -> None:
 
     Worth calling before a large step, once the tables that went before are deleted.
     """
+    gc.collect()  # tables in cycles of Python objects hold their plans too
     sc = spark.sparkContext
     sc._jvm.System.gc()
     sc._quillspark_collected = time.monotonic()
