@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Run `df` once into the checkpoint folder all executors share, and go on from those files.
 
@@ -26,7 +29,13 @@ def materialize(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="quillspark-checkpoint-")
         sc.setCheckpointDir(folder)
-    done = df.checkpoint(eager=True)
+    # The plan's shuffle files go as soon as its rows are written; what reads them later reads the checkpoint.
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(_CLEAN, "false")
+    conf.set(_CLEAN, "true")
+    try:
+        done = df.select("*").checkpoint(eager=True)
+    finally:
+        conf.set(_CLEAN, before)
     if time.monotonic() - getattr(sc, "_quillspark_collected", 0.0) > 1:
         free(df.sparkSession)
     return done
