@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -167,6 +168,42 @@ def test_simhashes():
     assert apart(0, 1) <= 8 < apart(0, 2)
 
 
+def test_crowded_buckets_lose_no_link(spark):
+    """Groups of lines that crowd a few buckets, against all pairs of all buckets; chains along a bucket miss some of them."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 7))) for _ in range(400)]
+    texts = []
+    for size in (12, 24, 40):
+        base = rng.choices(vocabulary, k=size)
+        for _ in range(80):
+            w = list(base)
+            for k in rng.sample(range(size), rng.randint(size // 10, size // 3)):
+                w[k] = rng.choice(vocabulary)
+            texts.append(" ".join(w))
+    texts = sorted(set(texts))
+    x = lines.lines_of([t.encode() for t in texts])
+    sims, met = lines.simhashes(x.words, x.ends), {}
+    for k, names in enumerate(lines.buckets(x.words, x.ends)):
+        for name in names.tolist():
+            met.setdefault(name, []).append(k)
+    up = list(range(len(texts)))
+
+    def find(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for i, j in sorted({p for members in met.values() for p in combinations(sorted(set(members)), 2)}):
+        if int(np.bitwise_count(sims[i] ^ sims[j]).sum()) <= 32 and find(i) != find(j) and lines.edit_distance(texts[i], texts[j]) <= lines.allowance(len(texts[i]), len(texts[j]), 0.8):
+            up[max(find(i), find(j))] = min(find(i), find(j))
+    wanted = {k: find(k) for k in range(len(texts)) if find(k) != k}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for more in ({}, {"side": 16}):
+        table, repeated = lines.line_groups(docs, **more)
+        rows = table.selectExpr("id", "explode(lines) line").join(repeated, "line").selectExpr("id", "first.id kept").collect()
+        assert {r.id: r.kept for r in rows if r.id != r.kept} == wanted
+
+
 def test_near_lines_at_defaults(spark):
     """Groups by brute force, of lines of usual lengths with replaced words."""
     rng, words = random.Random(6), vocabulary(1500)
