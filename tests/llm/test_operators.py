@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("quillspark.llm.queries")
-from quillspark.llm import jaccard, lines, mixing, packing, pii, prefix_bpe, quality, sharding, tokens, topk, urls  # noqa: E402
+from quillspark.llm import edits, jaccard, lines, mixing, packing, pii, prefix_bpe, quality, sharding, tokens, topk, urls  # noqa: E402
 from quillspark.llm.queries import tokenizer_path  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, cls int, size int, key string, bits string, shard int, target int"
@@ -204,6 +204,24 @@ def test_crowded_buckets_lose_no_link(spark):
         assert {r.id: r.kept for r in rows if r.id != r.kept} == wanted
 
 
+def test_distances_taken_at_once():
+    rng, xs, ys = random.Random(21), [], []
+    for _ in range(400):
+        letters = rng.choice(["ab", "abcdefgh ", "abcé漢字 "])
+        x = "".join(rng.choices(letters, k=rng.choice([1, 5, 63, 64, 65, 128, 129, 300])))
+        y = list(x)
+        for _ in range(rng.randint(0, max(1, len(x) // 2))):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randint(0, 1)] = rng.choices(letters, k=rng.randint(0, 1))
+        xs.append(x)
+        ys.append("".join(y))
+    exact = [lines.edit_distance(x, y) for x, y in zip(xs, ys, strict=True)]
+    for by in (0, 1):
+        most = [max(d - by, 0) for d in exact]
+        got = edits.within(xs, ys, most, lambda x, y, top: lines.edit_distance(x, y) <= top)
+        assert got.tolist() == [d <= top for d, top in zip(exact, most, strict=True)]
+
+
 def test_near_lines_at_defaults(spark):
     """Groups by brute force, of lines of usual lengths with replaced words."""
     rng, words = random.Random(6), vocabulary(1500)
