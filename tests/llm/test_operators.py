@@ -168,8 +168,9 @@ def test_simhashes():
     assert apart(0, 1) <= 8 < apart(0, 2)
 
 
-def test_crowded_buckets_lose_no_link(spark):
-    """Groups of lines that crowd a few buckets, against all pairs of all buckets; chains along a bucket miss some of them."""
+@pytest.fixture(scope="module")
+def crowded():
+    """Lines that crowd a few buckets, and for each that is not the first of its group the first, by all pairs of all buckets."""
     rng = random.Random(11)
     vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 7))) for _ in range(400)]
     texts = []
@@ -196,7 +197,12 @@ def test_crowded_buckets_lose_no_link(spark):
     for i, j in sorted({p for members in met.values() for p in combinations(sorted(set(members)), 2)}):
         if int(np.bitwise_count(sims[i] ^ sims[j]).sum()) <= 32 and find(i) != find(j) and lines.edit_distance(texts[i], texts[j]) <= lines.allowance(len(texts[i]), len(texts[j]), 0.8):
             up[max(find(i), find(j))] = min(find(i), find(j))
-    wanted = {k: find(k) for k in range(len(texts)) if find(k) != k}
+    return texts, {k: find(k) for k in range(len(texts)) if find(k) != k}
+
+
+def test_crowded_buckets_lose_no_link(spark, crowded):
+    """Chains along a bucket miss some links."""
+    texts, wanted = crowded
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for more in ({}, {"side": 16}):
         table, repeated = lines.line_groups(docs, **more)
@@ -204,6 +210,13 @@ def test_crowded_buckets_lose_no_link(spark):
         assert {r.id: r.kept for r in rows if r.id != r.kept} == wanted
 
 
+def test_pipeline_lines_of_crowded_buckets(spark, crowded):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    texts, gone = crowded
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in pipeline.line_stage(spark, docs, "").collect()) == [k for k in range(len(texts)) if k not in gone]
+
+
 def test_distances_taken_at_once():
     rng, xs, ys = random.Random(21), [], []
     for _ in range(400):
@@ -216,6 +229,7 @@ def test_distances_taken_at_once():
         xs.append(x)
         ys.append("".join(y))
     exact = [lines.edit_distance(x, y) for x, y in zip(xs, ys, strict=True)]
+    assert (edits.letters_apart(xs, ys) <= exact).all() and edits.letters_apart(["aab"], ["bcc"]).tolist() == [2]
     for by in (0, 1):
         most = [max(d - by, 0) for d in exact]
         got = edits.within(xs, ys, most, lambda x, y, top: lines.edit_distance(x, y) <= top)
