@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("quillspark.llm.queries")
-from quillspark.llm import edits, jaccard, lines, mixing, packing, pii, prefix_bpe, quality, sharding, tokens, topk, urls  # noqa: E402
+from quillspark.llm import components, edits, jaccard, lines, mixing, packing, pii, prefix_bpe, quality, sharding, tokens, topk, urls  # noqa: E402
 from quillspark.llm.queries import tokenizer_path  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, cls int, size int, key string, bits string, shard int, target int"
@@ -236,6 +236,52 @@ def test_distances_taken_at_once():
         assert got.tolist() == [d <= top for d, top in zip(exact, most, strict=True)]
 
 
+def test_few_distances_are_left_to_the_single_one():
+    """Pairs left over by a group, here those that are similar, go on together."""
+    rng, xs, ys = random.Random(22), [], []
+    for k in range(200):
+        x = "".join(rng.choices("abcdefgh ", k=300))
+        y = list(x) if k < 40 else rng.choices("abcdefgh ", k=300)
+        for at in range(0, 300, 9):
+            y[at] = "x"
+        xs.append(x)
+        ys.append("".join(y))
+    asked = []
+    got = edits.within(xs, ys, [60] * 200, lambda x, y, top: asked.append(x) or lines.edit_distance(x, y, top) <= top)
+    assert got.tolist() == [lines.edit_distance(x, y) <= 60 for x, y in zip(xs, ys, strict=True)] and sum(got) == 40
+    assert len(asked) < edits.PAYS
+
+
+def test_components(spark, monkeypatch):
+    """In rounds, in one task, and rounds first; few links take few jobs, as the driver keeps account of each."""
+    rng = random.Random(23)
+    name = rng.sample(range(-(1 << 40), 1 << 40), 150)  # digests, as the rounds ask for
+    links = [(name[k], name[k + 1]) for k in range(24)] + [(name[rng.randrange(40, 150)], name[rng.randrange(40, 150)]) for _ in range(80)] + [(name[30], name[30]), (None, name[31]), (name[32], None)]
+    up = {k: k for k in name}
+
+    def find(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in links:
+        if a is not None and b is not None:
+            up[max(find(a), find(b))] = min(find(a), find(b))
+    nodes = {k for a, b in links if a is not None and b is not None and a != b for k in (a, b)}
+    table = spark.createDataFrame(links, "a long, b long")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    for few in (0, 20, 1 << 20):
+        monkeypatch.setattr(components, "FEW", few)
+        before = jobs()
+        got = components.connected_components(table)
+        taken = jobs() - before
+        got = {r.node: r.comp for r in got.collect()}
+        assert set(got) == nodes and all((got[a] == got[b]) == (find(a) == find(b)) for a in nodes for b in nodes)
+        assert got.keys() >= set(got.values())
+    assert taken <= 8
+    assert components.connected_components(table.limit(0)).collect() == []
+
+
 def test_near_lines_at_defaults(spark):
     """Groups by brute force, of lines of usual lengths with replaced words."""
     rng, words = random.Random(6), vocabulary(1500)
