@@ -252,6 +252,48 @@ def test_few_distances_are_left_to_the_single_one():
     assert len(asked) < edits.PAYS
 
 
+def test_a_step_takes_all_words_of_the_band(monkeypatch):
+    """Long pairs take about a step a letter, however many words of rows their band holds."""
+    rng, xs, ys = random.Random(24), [], []
+    for _ in range(64):
+        x = rng.choices("abcdefgh ", k=2000)
+        y = list(x)
+        for at in range(0, 2000, 8):
+            y[at] = "x"
+        xs.append("".join(x))
+        ys.append("".join(y))
+
+    class Counted:
+        steps = 0
+
+        def __getattr__(self, name):
+            self.steps += name == "bitwise_or"
+            return getattr(np, name)
+
+    monkeypatch.setattr(edits, "np", counted := Counted())
+    assert edits.within(xs, ys, [400] * 64, None).all()
+    assert 1900 < counted.steps < 2200
+
+
+def test_distances_in_a_band():
+    """With a limit only the rows near the diagonals are looked at: strings that are shifted, cut, and long beside the limit."""
+    rng, xs, ys, exact = random.Random(25), [], [], []
+    for k in range(120):
+        letters = rng.choice(["ab", "abcdefgh "])
+        x = rng.choices(letters, k=rng.choice([60, 200, 330]))
+        cut, grown = rng.randrange(len(x) // 2), rng.randrange(40)
+        y = x[cut:] + rng.choices(letters, k=grown) if k % 3 else x[:30] + rng.choices(letters, k=grown) + x[30 : len(x) - cut]
+        xs.append("".join(x))
+        ys.append("".join(y))
+        exact.append(lines.edit_distance(xs[-1], ys[-1]))
+    for by in (-20, -1, 0, 1, 15, 60):
+        most = [max(d + by, 0) for d in exact]
+        found = [lines.edit_distance(x, y, top) for x, y, top in zip(xs, ys, most, strict=True)]
+        assert all(d == want if want <= top else d > top for d, want, top in zip(found, exact, most, strict=True))
+        got = edits.within(xs, ys, most, lambda x, y, top: lines.edit_distance(x, y) <= top)
+        assert got.tolist() == [d <= top for d, top in zip(exact, most, strict=True)]
+
+
 def test_components(spark, monkeypatch):
     """In rounds, in one task, and rounds first; few links take few jobs, as the driver keeps account of each."""
     rng = random.Random(23)
