@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +37,25 @@ def test_ngrams(spark):
         T.ngrams(F.col("x"), True)
 
 
+def test_char_ngrams_count_code_points(spark):
+    """Each window is found on one walk, so that a text of 400,000 letters is no matter of hours; windows cut no code point in two."""
+    assert one(spark, "a😀b\n😁😂", lambda t: T.char_ngrams(t, 2, native=True)) == ["a😀", "😀b", "b\n", "\n😁", "😁😂"]
+    assert one(spark, None, lambda t: T.char_ngrams(t, 2, native=True)) == []
+    began = time.monotonic()
+    text = spark.range(1).select(F.repeat(F.lit("abcdefgh"), 50_000).alias("text"))
+    assert text.select(F.size(T.char_ngrams(F.col("text"), 3, native=True))).first()[0] == 399_998
+    assert time.monotonic() - began < 10
+
+
+def test_words_are_cut_once(spark, tmp_path):
+    """A bare column would be cut into words in a filter too, and in it twice."""
+    spark.createDataFrame([(1, "a_b __ c"), (2, None), (3, "")], "doc_id int, text string").write.parquet(f"{tmp_path}/d")
+    x = spark.read.parquet(f"{tmp_path}/d").select("doc_id", T.normalize(F.col("text"), native=True).alias("tokens"))
+    index = C.postings(x)
+    assert "Filter" not in index._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in index.collect()} == {(1, "a_b", 1), (1, "c", 1)}
+
+
 def docs(spark, *texts):
     return spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "doc_id int, tokens array<string>")
 
