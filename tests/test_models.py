@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark import cli
 from quillspark.operators import analyzers, counts, embeddings, hybrid, models, search, subwords
+from quillspark.plans import catalogue
 from quillspark.sources import text as sources
 
 TEXTS = ["The ship left the harbour at dawn.", "A farmer counts the sheep in the barn.", "문서를 검색하는 방법", "검색이 빠른 문서", "Ships and boats in the bay", ""]
@@ -266,3 +267,24 @@ def test_a_long_batch_of_merges_is_no_long_plan(spark):
     began = time.monotonic()
     assert subwords.train_distributed(table, 30, False) == [tuple(w) for w in types]
     assert time.monotonic() - began < 60
+
+
+def test_vectors_of_a_symmetric_table_by_halves_and_panels(spark, monkeypatch):
+    """Half the cells, panels of a few columns and arrays of a few cells give what the dense matrix does, up to signs."""
+    monkeypatch.setattr(embeddings, "PANEL", 5 * 8 * 60)
+    monkeypatch.setattr(embeddings, "CELLS", 7)
+    rng = random.Random(1)
+    rows = [(f"w{i:02}", f"w{j:02}", rng.random()) for i in range(60) for j in range(i, 60) if i % 5 == 0 or rng.random() < 0.2]
+    half = spark.createDataFrame(rows, "term string, ctx string, ppmi double")
+    dense, blocks = ({r.term: np.array(r.vec) for r in embeddings.svd_embeddings(half, 4, "full", most, rounds=30, half=True).collect()} for most in (4000, 0))
+    assert set(dense) == set(blocks) and len(dense) == 60
+    a, b = (np.array([x[t] for t in sorted(x)]) for x in (dense, blocks))
+    assert np.allclose(np.abs(a), np.abs(b), atol=1e-3)
+    whole = {r.term: np.array(r.vec) for r in embeddings.svd_embeddings(models.mirrored(half, "ppmi"), 4, "full").collect()}
+    assert np.allclose(np.abs(a), np.abs([whole[t] for t in sorted(whole)]), atol=1e-6)
+
+
+def test_catalogue_takes_all_words_for_vectors(spark, tmp_path):
+    """Words found twice have vectors; before, only those found fifty times did."""
+    spark.createDataFrame([(i, " ".join(f"w{(7 * i + k) % 30}" for k in range(4))) for i in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalogue.svd_embeddings(spark, str(tmp_path)).count() == len({f"w{x}" for x in range(30) if sum((7 * i + k) % 30 == x for i in range(20) for k in range(4)) >= 2})
